@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ..shipping import map_arrow
 from .common import text_slices
 from .textnum import Flat
 
@@ -222,7 +223,7 @@ def encode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
                 ids, off = enc.encode(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids.astype(np.int32)))], names=[id_col, "ids"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return map_arrow(df.select(id_col, text_col), run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -237,7 +238,7 @@ def decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col:
             off = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode() for x in enc.decode(ids, off)], pa.string())], names=[id_col, "text"])
 
-    return df.select(id_col, ids_col).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, text string")
+    return map_arrow(df.select(id_col, ids_col), run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, text string")
 
 
 def round_trip(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,4 +262,4 @@ def round_trip(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(df.select(id_col, text_col), run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
 from .common import text_slices
 from .textnum import IS_SPACE, Flat, U, mix, window_hashes
 
@@ -166,7 +167,7 @@ def estimate(df: DataFrame, text_col: str, rules: tuple[Rule, ...] = RULES, frac
                     took.append(time.perf_counter() - began)
                 yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(rules)), pa.int32()), "rows": pa.array([flat.n] * len(rules), pa.int64()), "hits": pa.array(hits, pa.int64()), "took": took})
 
-    got = df.select(F.col(text_col).alias("t")).sample(fraction, seed=7).limit(rows).mapInArrow(measure, "k int, rows long, hits long, took double").groupBy("k").agg(F.sum("rows"), F.sum("hits"), F.sum("took")).collect()
+    got = map_arrow(df.select(F.col(text_col).alias("t")).sample(fraction, seed=7).limit(rows), measure, "k int, rows long, hits long, took double").groupBy("k").agg(F.sum("rows"), F.sum("hits"), F.sum("took")).collect()
     seen = {r[0]: r[1:] for r in got}
     out = []
     for k, rule in enumerate(rules):
@@ -190,7 +191,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(v, pa.int64()) for v in counts.values()), pa.array(failed), pa.array(kept)], names=[id_col, *counts, "base_failed", "kept"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    return map_arrow(df.select(id_col, text_col), run, f"{id_col} {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
 
 
 def keep(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -205,4 +206,4 @@ def keep(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES)
                 kept, _ = cascade(texts, ~base_failed(base_counts(Flat(texts))), ordered)
                 yield batch.slice(at, len(texts)).filter(pa.array(kept))
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)

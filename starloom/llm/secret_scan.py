@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..shipping import map_arrow
 from .common import text_slices
 from .textnum import Flat
 
@@ -182,7 +183,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                     names=[id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_arrow(df.select(id_col, text_col), run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def clean(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -204,4 +205,4 @@ def clean(df: DataFrame, text_col: str = "text", length_col: str | None = None)
                     part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
                 yield part
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)
