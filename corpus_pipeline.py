@@ -1,12 +1,57 @@
-"""Corpus preparation: five stages from raw documents to token ids."""
+"""Corpus preparation: five stages from raw documents to token ids.
+
+Every stage works on all that its predecessor kept.  Quality rules drop what
+they reject; near-duplicate groups keep their smallest id; secrets are cut out
+of the texts; mixing keeps what lies before the horizon of the target weights
+and writes it in schedule order; encoding returns the token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from starloom.llm import bpe, minhash, mixing, quality, secret_scan
+from starloom.llm.common import Scratch, table
+from starloom.llm.queries import VOCABULARY
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs)
+
+
+def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.clean(docs, length_col="n_chars")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(docs).where("in_mix")
+    return mixed.repartitionByRange("slot").sortWithinPartitions("slot", "position").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(docs, VOCABULARY, with_ids=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("minhash near-dedup", near_dedup),
+    ("secret scans", remove_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("bpe encoding and decoding", encode),
+]
+
+#: No SQL: shingle components, entropy windows and BPE are tested against brute force in tests/llm.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on ``documents``, each written as Parquet to the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.write(stage(spark, docs, sf_dir), str(k))
+    return STAGES[-1][1](spark, docs, sf_dir)

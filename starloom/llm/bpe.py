@@ -241,8 +241,8 @@ def decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col:
     return map_arrow(df.select(id_col, ids_col), run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, text string")
 
 
-def round_trip(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every text; digests of the ids and of the decoded bytes."""
+def round_trip(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode every text; digests of the ids and of the decoded bytes, and the ids themselves if asked for."""
     shared = df.sparkSession.sparkContext.broadcast(_read_spec(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,14 +252,16 @@ def round_trip(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text
                 ids, off = enc.encode(texts)
                 raw = memoryview(np.ascontiguousarray(ids)).cast("B")
                 cut = (off * 4).tolist()
+                lists = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids.astype(np.int32)))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)),
                         pa.array(np.diff(off), pa.int64()),
                         pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.string()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in enc.decode(ids, off)], pa.string()),
+                        *lists,
                     ],
-                    names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
+                    names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids],
                 )
 
-    return map_arrow(df.select(id_col, text_col), run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(df.select(id_col, text_col), run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, quality, secret_scan
+from . import bpe, minhash, mixing, quality, secret_scan
 from .common import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -38,3 +38,54 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.group(table(spark, sf_dir, "documents"), settings=minhash.Settings(width=4))
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+ORACLES["op9_mixing"] = f"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS key FROM documents
+), cnt AS (
+  SELECT key, count(*) AS n FROM doc GROUP BY key
+), raw AS (
+  SELECT key, n, pow(n::DOUBLE, {mixing.ALPHA}::DOUBLE) AS w, greatest({mixing.PERIOD}, count(*) OVER ()) AS size, count(*) OVER () AS m FROM cnt
+), exact AS (
+  SELECT key, n, size, m, round(w / sum(w) OVER () * (size - m), 6) AS exact FROM raw
+), turn AS (
+  SELECT key, n, floor(exact)::BIGINT AS whole, size - m - sum(floor(exact)::BIGINT) OVER () AS lft,
+         row_number() OVER (ORDER BY exact - floor(exact) DESC, key) AS turn FROM exact
+), share AS (
+  SELECT key, n, 1 + whole + CASE WHEN turn <= lft THEN 1 ELSE 0 END AS part FROM turn
+), lists AS (
+  SELECT list(key ORDER BY key) AS ks, list(part ORDER BY key) AS ps, sum(part)::BIGINT AS size FROM share
+), edf AS (
+  SELECT ks, ps, size, 0::BIGINT AS slot, list_transform(ps, lambda x: 0::BIGINT) AS done, 0::BIGINT AS pick FROM lists
+  UNION ALL
+  SELECT ks, ps, size, slot + 1, list_transform(range(1, len(ps) + 1), lambda i: done[i] + CASE WHEN i = p THEN 1 ELSE 0 END), p
+  FROM (
+    SELECT *, list_position(due, list_min(due))::BIGINT AS p FROM (
+      SELECT *, list_transform(range(1, len(ps) + 1), lambda i: CASE WHEN (done[i] * size) // ps[i] <= slot THEN -((-(done[i] + 1) * size) // ps[i]) END) AS due
+      FROM edf WHERE slot < size
+    )
+  )
+), schedule AS (
+  SELECT ks[pick] AS key, slot - 1 AS off, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS k FROM edf WHERE pick > 0
+), dry AS (
+  SELECT key, part, ceil(n / {mixing.BLOCK}::DOUBLE) / part AS dry, sum(part) OVER () AS size FROM share
+), live AS (
+  SELECT dry, 1 - sum(part) OVER (ORDER BY dry RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / size::DOUBLE AS live FROM dry
+), horizon AS (
+  SELECT min(dry) AS periods FROM live WHERE live < {mixing.MIN_LIVE}
+), placed AS (
+  SELECT doc_id, source, key, row_number() OVER (PARTITION BY key ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS position FROM doc
+), blocks AS (
+  SELECT p.*, p.position // {mixing.BLOCK} AS block, s.part, l.size FROM placed p JOIN share s USING (key) CROSS JOIN lists l
+)
+SELECT doc_id, source, ((block // part) * b.size + off)::BIGINT AS slot, block::BIGINT AS block,
+       ((block * b.size) // part)::BIGINT AS release, (-((-(block + 1) * b.size) // part))::BIGINT AS deadline, position::BIGINT AS position,
+       coalesce((block // part) * b.size + off < ceil(periods) * b.size, true) AS in_mix
+FROM blocks b JOIN schedule c ON c.key = b.key AND c.k = b.block % b.part CROSS JOIN horizon
+"""
