@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, quality, secret_scan
+from . import bpe, minhash, mixing, quality, secret_scan, warc
 from .common import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -89,3 +89,18 @@ SELECT doc_id, source, ((block // part) * b.size + off)::BIGINT AS slot, block::
        coalesce((block // part) * b.size + off < ceil(periods) * b.size, true) AS in_mix
 FROM blocks b JOIN schedule c ON c.key = b.key AND c.k = b.block % b.part CROSS JOIN horizon
 """
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spark, table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+ORACLES["op3_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, payload_digest, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= {warc.LEAST} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {warc.LEAST} AND page_id <> first THEN first END AS refers_to
+FROM q
+"""
