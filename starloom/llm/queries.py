@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, quality, secret_scan, warc
+from . import bpe, html_extract, minhash, mixing, quality, secret_scan, urls, warc
 from .common import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -104,3 +104,13 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= {warc.LEAST} AND page_id <> first THEN first END AS refers_to
 FROM q
 """
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
