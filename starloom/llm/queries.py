@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, minhash, mixing, quality, secret_scan, urls, warc
+from . import bpe, html_extract, minhash, mixing, quality, secret_scan, toxicity, urls, warc
 from .common import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -114,3 +114,8 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
