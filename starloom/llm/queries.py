@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, minhash, mixing, quality, secret_scan, toxicity, urls, warc
+from . import ann, bpe, html_extract, minhash, mixing, quality, secret_scan, toxicity, urls, warc
 from .common import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -119,3 +119,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
