@@ -41,29 +41,34 @@ def mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
-def rounds(df, column: str, kappa: float, count: int, least: int, floor: float):
-    """``count`` clipping rounds on an array column: keep within kappa deviations of the median, unless too few or too tight.
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Each round is a projection of its own, so a round's median and deviation are worked out once a row.
-    """
+
+def clipped(a: Column, kappa: float, count: int, least: int, floor: float) -> Column:
+    """A sorted array after clipping rounds: keep within kappa deviations of the median, unless too few or too tight."""
     for _ in range(count):
-        df = df.withColumn("_m", upper_median(F.col(column))).withColumn("_s", madn(F.col(column), F.col("_m")))
-        kept = F.filter(column, lambda x: F.abs(x - F.col("_m")) <= kappa * F.col("_s"))
-        df = df.withColumn(column, F.when((F.size(column) < least) | (F.col("_s") < floor), F.col(column)).otherwise(kept)).drop("_m", "_s")
-    return df
+        a = let(a, lambda v: let(upper_median(v), lambda m: let(madn(v, m), lambda s: F.when((F.size(v) < least) | (s < floor), v).otherwise(F.filter(v, lambda x: F.abs(x - m) <= kappa * s)))))
+    return a
+
+
+def mode_and_sigma(a: Column) -> Column:
+    """(mode, sigma, kept): 2.5 median - 1.5 mean where they are near, else the median; sigma floored at 0.001."""
 
+    def of(v: Column, m: Column, s: Column, avg: Column) -> Column:
+        mode = F.when(F.abs(avg - m) < 0.3 * s, 2.5 * m - 1.5 * avg).otherwise(m)
+        return F.struct(mode.alias("mode"), F.greatest(s, F.lit(0.001)).alias("sigma"), F.size(v).cast("long").alias("kept"))
 
-def mode_and_sigma(df, column: str):
-    """Adds (mode, sigma): 2.5 median - 1.5 mean where they are near, else the median; sigma floored at 0.001."""
-    df = df.withColumn("_m", upper_median(F.col(column))).withColumn("_s", madn(F.col(column), F.col("_m"))).withColumn("_a", mean(F.col(column)))
-    near = F.abs(F.col("_a") - F.col("_m")) < 0.3 * F.col("_s")
-    return df.withColumn("mode", F.when(near, 2.5 * F.col("_m") - 1.5 * F.col("_a")).otherwise(F.col("_m"))).withColumn("sigma", F.greatest("_s", F.lit(0.001))).drop("_m", "_s", "_a")
+    return let(a, lambda v: let(upper_median(v), lambda m: let(madn(v, m), lambda s: let(mean(v), lambda avg: of(v, m, s, avg)))))
 
 
 def weighted_median(pairs: Column) -> Column:
     """Of an array of (v, w) sorted by v: the first value whose running weight reaches half; weights of 0 or less don't count."""
-    live = F.filter(pairs, lambda p: p["w"] > 0)
-    half = F.aggregate(live, F.lit(0.0), lambda s, p: s + p["w"]) / 2
     start = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("double").alias("found"))
-    walk = lambda acc, p: F.struct((acc["cum"] + p["w"]).alias("cum"), F.coalesce(acc["found"], F.when(acc["cum"] + p["w"] >= half, p["v"])).alias("found"))
-    return F.coalesce(F.aggregate(live, start, walk)["found"], F.lit(0.0))
+
+    def first_at(live: Column, half: Column) -> Column:
+        walk = lambda acc, p: F.struct((acc["cum"] + p["w"]).alias("cum"), F.coalesce(acc["found"], F.when(acc["cum"] + p["w"] >= half, p["v"])).alias("found"))
+        return F.coalesce(F.aggregate(live, start, walk)["found"], F.lit(0.0))
+
+    return let(F.filter(pairs, lambda p: p["w"] > 0), lambda live: let(F.aggregate(live, F.lit(0.0), lambda s, p: s + p["w"]) / 2, lambda half: first_at(live, half)))

@@ -12,23 +12,19 @@ TRAIL_LIMIT = 0.5
 CENTRE = 500.0
 
 
-def clipped_median(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Median after two clipping rounds at 3 deviations; ``column`` holds sorted values."""
-    df = stats.rounds(df.withColumn("_l", F.col(column)), "_l", 3.0, 2, 3, 1e-10)
-    kept = F.when(F.size("_l") == 0, F.col(column)).otherwise(F.col("_l"))
-    return df.withColumn(out, stats.upper_median(kept)).drop("_l")
+def clipped_median(a: Column) -> Column:
+    """Median of sorted values after two clipping rounds at 3 deviations."""
+    kept = stats.clipped(a, 3.0, 2, 3, 1e-10)
+    return stats.let(kept, lambda k: F.when(F.size(k) == 0, stats.upper_median(a)).otherwise(stats.upper_median(k)))
 
 
-def clipped_weighted_median(df: DataFrame, column: str, out: str) -> DataFrame:
-    """The same with the weighted median as centre; ``column`` holds (v, w) sorted by v."""
-    df = df.withColumn("_l", F.col(column))
+def clipped_weighted_median(pairs: Column) -> Column:
+    """The same with the weighted median as centre, of (v, w) sorted by v."""
+    kept = pairs
     for _ in range(2):
-        df = df.withColumn("_m", stats.weighted_median(F.col("_l")))
-        df = df.withColumn("_s", stats.MAD_SCALE * stats.upper_median(F.sort_array(F.transform("_l", lambda p: F.abs(p["v"] - F.col("_m"))))))
-        kept = F.filter("_l", lambda p: F.abs(p["v"] - F.col("_m")) <= 3.0 * F.col("_s"))
-        df = df.withColumn("_l", F.when((F.size("_l") < 3) | (F.col("_s") < 1e-10), F.col("_l")).otherwise(kept))
-    kept = F.when(F.size("_l") == 0, F.col(column)).otherwise(F.col("_l"))
-    return df.withColumn(out, stats.weighted_median(kept)).drop("_l", "_m", "_s")
+        spread = lambda p, m: stats.MAD_SCALE * stats.upper_median(F.sort_array(F.transform(p, lambda q: F.abs(q["v"] - m))))
+        kept = stats.let(kept, lambda p: stats.let(stats.weighted_median(p), lambda m: stats.let(spread(p, m), lambda s: F.when((F.size(p) < 3) | (s < 1e-10), p).otherwise(F.filter(p, lambda q: F.abs(q["v"] - m) <= 3.0 * s)))))
+    return stats.let(kept, lambda k: stats.weighted_median(F.when(F.size(k) == 0, pairs).otherwise(k)))
 
 
 def axial_sums() -> dict[str, Column]:
@@ -63,12 +59,11 @@ def frame_quality(stars: DataFrame, background: float = 1000.0, noise: float = 5
         stats.values("beta").alias("betas"),
         F.collect_list(F.struct("fwhm", "ecc", w.alias("w"))).alias("stars"),
     )
-    df = trail_columns(clipped_median(df, "fwhms", "field_fwhm"))
+    df = trail_columns(df.withColumn("field_fwhm", clipped_median(F.col("fwhms"))))
     rounds = F.filter("stars", lambda s: s["ecc"] <= ROUND_ECC)
     df = df.withColumn("used", F.when(F.col("possibly_trailed") | (F.size(rounds) < 3), F.col("stars")).otherwise(rounds))
     pairs = lambda name: F.sort_array(F.transform("used", lambda s: F.struct(s[name].alias("v"), s["w"].alias("w"))))
-    df = clipped_weighted_median(df.withColumn("fp", pairs("fwhm")).withColumn("ep", pairs("ecc")), "fp", "median_fwhm")
-    df = clipped_weighted_median(df, "ep", "median_ecc")
+    df = df.withColumn("median_fwhm", clipped_weighted_median(pairs("fwhm"))).withColumn("median_ecc", clipped_weighted_median(pairs("ecc")))
     flux = stats.upper_median(F.col("fluxes"))
     return df.select(
         "frame_id",

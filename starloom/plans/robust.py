@@ -41,7 +41,7 @@ def madn_by_frame(spark, sf_dir):
 @query(f"WITH {STAR}, {LISTS.format('flux')}, {clip_rounds(2, 3.0, 3, '1e-10')} SELECT frame_id, CASE WHEN len(l) = 0 THEN {UM.format('l0')} ELSE {UM.format('l')} END AS clipped_flux FROM c2")
 def sigma_clipped_median(spark, sf_dir):
     df = v_star(spark, sf_dir).groupBy("frame_id").agg(stats.values("flux").alias("l"))
-    return quality.clipped_median(df, "l", "clipped_flux").select("frame_id", "clipped_flux")
+    return df.select("frame_id", quality.clipped_median(F.col("l")).alias("clipped_flux"))
 
 
 def weighted_sql(source: str, value: str = "v") -> str:
@@ -70,7 +70,7 @@ def weighted_median(spark, sf_dir):
 def sc_weighted_median(spark, sf_dir):
     pair = F.struct(F.col("flux").alias("v"), (1 / (1 + F.col("fit_residual"))).alias("w"))
     df = v_star(spark, sf_dir).groupBy("frame_id").agg(stats.values(pair).alias("l"))
-    return quality.clipped_weighted_median(df, "l", "flux_scw").select("frame_id", "flux_scw")
+    return df.select("frame_id", quality.clipped_weighted_median(F.col("l")).alias("flux_scw"))
 
 
 CAP = 50
@@ -132,7 +132,7 @@ trail AS (SELECT *, exp(-n * r_sq) AS p, exp(-n * radial_r_sq) AS radial_p, n >=
 def trail_rayleigh(spark, sf_dir):
     dist = F.sqrt((F.col("x") - 500) * (F.col("x") - 500) + (F.col("y") - 500) * (F.col("y") - 500))
     df = v_star(spark, sf_dir, trailed=True).groupBy("frame_id").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in quality.axial_sums().items()], F.corr("ecc", dist).alias("corr"), F.median("ecc").alias("med_ecc"), stats.values("fwhm").alias("l"))
-    df = quality.trail_columns(quality.clipped_median(df, "l", "field_fwhm"))
+    df = quality.trail_columns(df.withColumn("field_fwhm", quality.clipped_median(F.col("l"))))
     return df.select("frame_id", "n", *[F.round(c, 6).alias(c) for c in ("r_sq", "radial_r_sq", "p", "corr", "med_ecc")], "possibly_trailed")
 
 
