@@ -1 +1,276 @@
+"""Queries that need a kernel: file round trips, wavelet noise, detection, fits, rasters."""
 
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import detection, psf
+from ..shipping import map_arrow
+from ..sources import fits, images, xisf
+from .images import SIZE, _smooth_sql
+from .registry import query
+from .views import IMGSTAR, PIX, v_imgstar, v_pix
+
+
+def frames(pix: DataFrame, rows: int) -> DataFrame:
+    """(frame, w, v): the image cut into frames of whole rows, values in row order."""
+    p = pix.select(F.expr(f"y div {rows}").alias("frame"), "y", "x", "v")
+    return p.groupBy("frame").agg((F.max("x") + 1).alias("w"), F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p")).select("frame", "w", F.transform("p", lambda q: q["v"]).alias("v"))
+
+
+def per_frame(df: DataFrame, function: Callable[[int, np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """Runs ``function(frame, image)`` on every frame; its rows are the result."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+        types = [kinds[c.strip().split(" ")[1]] for c in schema.split(",")]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                v = batch.column(2)[i].values.to_numpy(zero_copy_only=False)
+                out = function(batch.column(0)[i].as_py(), v.reshape(-1, batch.column(1)[i].as_py()))
+                columns = list(zip(*out, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return map_arrow(df.select("frame", "w", "v"), run, schema)
+
+
+def _round_trip(spark, sf_dir, code: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    def run(frame: int, img: np.ndarray) -> list[tuple]:
+        out = code(img[None])[0]
+        yy, xx = np.indices(out.shape)
+        return list(zip([frame] * out.size, xx.ravel().tolist(), yy.ravel().tolist(), out.ravel().astype(float).tolist(), strict=True))
+
+    return per_frame(frames(v_pix(spark, sf_dir), 10), run, "frame long, x long, y long, v double")
+
+
+def _trip_sql(value: str) -> str:
+    return f"WITH {PIX} SELECT y // 10 AS frame, x, y % 10 AS y, ({value})::DOUBLE AS v FROM pix"
+
+
+@query(_trip_sql("floor(least(v, 255)) * 256"))
+def fits_roundtrip_u8(spark, sf_dir):
+    return _round_trip(spark, sf_dir, lambda p: fits.decode(fits.encode(np.floor(np.minimum(p, 255)), 8))[1])
+
+
+@query(_trip_sql("floor(v)"))
+def fits_roundtrip_i16(spark, sf_dir):
+    return _round_trip(spark, sf_dir, lambda p: fits.decode(fits.encode(np.floor(p), 16))[1])
+
+
+@query(_trip_sql("floor(v * 100)"))
+def fits_roundtrip_u16(spark, sf_dir):
+    return _round_trip(spark, sf_dir, lambda p: fits.decode(fits.encode(np.floor(p * 100), 16, 32768.0))[1])
+
+
+@query(_trip_sql("v::FLOAT"))
+def fits_roundtrip_f32(spark, sf_dir):
+    return _round_trip(spark, sf_dir, lambda p: fits.decode(fits.encode(p, -32))[1])
+
+
+def _xisf(codec: str, form: str = "UInt16", embedded: bool = False):
+    return lambda spark, sf_dir: _round_trip(spark, sf_dir, lambda p: xisf.decode(xisf.encode(np.floor(p), form, codec, embedded))[1])
+
+
+for _codec in ("none", "zlib", "lz4", "lz4hc", "zstd", "zlib+sh", "lz4+sh", "zstd+sh"):
+    _f = _xisf(_codec)
+    _f.__name__ = "xisf_roundtrip_" + _codec.replace("+", "_")
+    query(_trip_sql("floor(v)"))(_f)
+_f = _xisf("none", embedded=True)
+_f.__name__ = "xisf_roundtrip_embedded"
+query(_trip_sql("floor(v)"))(_f)
+_f = _xisf("zlib", "UInt8")
+_f.__name__ = "xisf_roundtrip_u8"
+query(_trip_sql("floor(v)::BIGINT % 256 * 257"))(_f)
+
+
+@query(f"WITH {PIX}, f AS (SELECT DISTINCT y // 10 AS frame FROM pix) SELECT frame, k.pos::INT AS pos, k.keyword, k.value FROM f CROSS JOIN (VALUES (0, 'SIMPLE', 'T'), (1, 'BITPIX', '16'), (2, 'NAXIS', '2'), (3, 'NAXIS1', '100'), (4, 'NAXIS2', '10'), (5, 'BZERO', '32768.0'), (6, 'BSCALE', '1.0'), (7, 'BAYERPAT', 'RGGB')) k(pos, keyword, value)")
+def fits_header_cards(spark, sf_dir):
+    """Header cards by column functions only, from the bytes of each frame's file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = [fits.encode(np.floor(batch.column(2)[i].values.to_numpy(zero_copy_only=False)).reshape(1, -1, batch.column(1)[i].as_py()), 16, 32768.0, {"BAYERPAT": "'RGGB'"}) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], names=["frame", "content"])
+
+    files = map_arrow(frames(v_pix(spark, sf_dir), 10), run, "frame long, content binary")
+    text = F.decode(F.substring("content", 1, 2880), "US-ASCII")
+    cards = files.select("frame", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: F.substring(text, i * 80 + 1, F.lit(80)))).alias("pos", "card"))
+    value = F.regexp_replace(F.trim(F.regexp_extract("card", r"^.{8}=\s*('[^']*'|[^/]*)", 1)), "'", "")
+    return cards.where(F.substring("card", 9, 1) == "=").select("frame", "pos", F.trim(F.substring("card", 1, 8)).alias("keyword"), value.alias("value"))
+
+
+def _mrs_sql() -> str:
+    um = lambda c, f="TRUE": f"list_sort(list({c}) FILTER (WHERE {f}))[count(*) FILTER (WHERE {f}) // 2 + 1]"
+    out = [
+        f"wl AS (SELECT p.x, p.y, w, h, p.v - s.v AS w1, s.v - t.v AS w2 FROM pix p JOIN s1 s USING (x, y) JOIN t2 t USING (x, y), sz)",  # noqa: F541
+        "i1 AS (SELECT * FROM wl WHERE x >= 2 AND y >= 2 AND x < w - 2 AND y < h - 2)",
+        f"g1 AS (SELECT {um('w1')} AS m FROM i1)",
+        f"sg AS (SELECT greatest(1.4826::DOUBLE * {um('abs(w1 - m)')}, 0.001) AS s FROM i1, g1)",
+        "k1 AS (SELECT wl.*, abs(w1) > 3 * s AS mk FROM wl, sg)",
+        "i2 AS (SELECT * FROM k1 WHERE NOT mk AND x >= least(4, w // 4) AND y >= least(4, w // 4) AND x < w - least(4, w // 4) AND y < h - least(4, w // 4))",
+        f"g2 AS (SELECT {um('w2')} AS m FROM i2)",
+        f"s2 AS (SELECT 1.4826::DOUBLE * {um('abs(w2 - m)')} AS s, count(*) AS n FROM i2, g2)",
+        "k2 AS (SELECT w1 FROM k1, s2 WHERE NOT mk AND NOT (n >= 100 AND abs(w2) > 3 * s) AND x >= 2 AND y >= 2 AND x < w - 2 AND y < h - 2)",
+        "e0 AS (SELECT s, FALSE AS done FROM sg)",
+    ]
+    for k in range(4):
+        out.append(f"m{k} AS (SELECT {um('w1', 'abs(w1) <= 3 * s')} AS m, any_value(s) AS s, any_value(done) AS done, count(*) FILTER (WHERE abs(w1) <= 3 * s) AS n FROM k2, e{k})")
+        out.append(f"e{k + 1} AS (SELECT CASE WHEN done OR n < 100 THEN s ELSE nw END AS s, done OR n < 100 OR nw <= 0 OR abs(nw - s) / s < 0.001 AS done FROM (SELECT any_value(s) AS s, any_value(done) AS done, any_value(n) AS n, 1.4826::DOUBLE * {um('abs(w1 - m)', 'abs(w1) <= 3 * s')} AS nw FROM k2, m{k}))")
+    return f"WITH {PIX}, {SIZE}, {_smooth_sql('s1', 'pix', 1)}, {_smooth_sql('t2', 's1', 2)}, " + ", ".join(out) + " SELECT 0::BIGINT AS frame, round(greatest(s, 0.001), 4) AS noise FROM e4"
+
+
+@query(_mrs_sql())
+def mrs_noise(spark, sf_dir):
+    return per_frame(frames(v_pix(spark, sf_dir), 1_000_000), lambda f, img: [(f, round(detection.mrs_noise(img, 2), 4))], "frame long, noise double")
+
+
+def scenes(spark, sf_dir) -> DataFrame:
+    """Rendered frames with known stars: a frame for each hundred image stars, a dozen stars each, as (frame, w, v)."""
+    s = v_imgstar(spark, sf_dir).where("id % 100 < 12").select(F.expr("id div 100").alias("frame"), (20 + F.col("id") % 100 % 4 * 40 + F.col("x") % 8).alias("sx"), (20 + F.expr("id % 100 div 4") * 50 + F.col("y") % 8).alias("sy"), (F.abs("flux") % 4000 + 2000).alias("amp"))
+    return s.groupBy("frame").agg(F.collect_list(F.struct("sx", "sy", "amp")).alias("stars"))
+
+
+def on_scenes(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+        types = [kinds[c.strip().split(" ")[1]] for c in schema.split(",")]
+        for batch in batches:
+            for frame, stars in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rng = np.random.Generator(np.random.PCG64(frame))
+                img = 1000 + 20 * rng.standard_normal((170, 190))
+                yy, xx = np.indices(img.shape)
+                for s in stars:
+                    img += s["amp"] * np.exp(-((xx - s["sx"]) ** 2 + (yy - s["sy"]) ** 2) / (2 * 1.8**2))
+                out = function(frame, img, sorted(stars, key=lambda s: (s["sy"], s["sx"])))
+                columns = list(zip(*out, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return map_arrow(df, run, schema)
+
+
+@query()
+def detect_pipeline(spark, sf_dir):
+    """Two detection passes on rendered frames (accuracy is tested in pytest)."""
+
+    def run(frame, img, _):
+        noise = detection.mrs_noise(img, 2)
+        return [(frame, k, s["x"], s["y"], s["flux"], s["ecc"], s["fwhm"]) for k, s in enumerate(detection.detect(img, 1000.0, noise, 4.2, second=True))]
+
+    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, x double, y double, flux double, ecc double, fwhm double")
+
+
+@query()
+def fast_detect(spark, sf_dir):
+    """The half-flux ladder on rendered frames."""
+    run = lambda frame, img, _: [(frame, k, s["x"], s["y"], s["hfd"], s["flux"], s["snr"]) for k, s in enumerate(detection.ladder(img, [(600.0, 20.0), (140.0, 20.0)], 1000.0, 50))]
+    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, x double, y double, hfd double, flux double, snr double")
+
+
+def _stamps(img, stars, r=10):
+    for s in stars:
+        x, y = round(s["sx"]), round(s["sy"])
+        if r <= x < img.shape[1] - r and r <= y < img.shape[0] - r:
+            yield s, x, y, img[y - r : y + r + 1, x - r : x + r + 1]
+
+
+@query()
+def moffat_fit(spark, sf_dir):
+    def run(frame, img, stars):
+        out = []
+        for k, (s, x, y, stamp) in enumerate(_stamps(img, stars)):
+            m = psf.measure(stamp)
+            out.append((frame, k, x - 10 + m["x"], y - 10 + m["y"], m["fwhm_x"], m["fwhm_y"], m["ecc"], m["beta"], m["method"]))
+        return out
+
+    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, x double, y double, fwhm_x double, fwhm_y double, ecc double, beta double, method string")
+
+
+@query()
+def gaussian_fit(spark, sf_dir):
+    def run(frame, img, stars):
+        fitted = ((k, x, y, psf.fit_gaussian(stamp)) for k, (_, x, y, stamp) in enumerate(_stamps(img, stars)))
+        return [(frame, k, x - 10 + m["x"], y - 10 + m["y"], m["fwhm_x"], m["fwhm_y"], m["residual"]) for k, x, y, m in fitted if m]
+
+    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, x double, y double, fwhm_x double, fwhm_y double, residual double")
+
+
+@query()
+def centroid_refine(spark, sf_dir):
+    """Centres by a Moffat fit of fixed shape, kept if they move by 2 pixels at most."""
+
+    def run(frame, img, stars):
+        out = []
+        for k, (s, x, y, stamp) in enumerate(_stamps(img, stars)):
+            m = psf.fit_moffat(stamp, beta=4.0, rounds=25, tol=1e-4)
+            if m and math.hypot(m["x"] - 10, m["y"] - 10) <= 2 and 0.5 <= m["fwhm_x"] <= 50:
+                out.append((frame, k, x - 10 + m["x"], y - 10 + m["y"], math.hypot(x - 10 + m["x"] - s["sx"], y - 10 + m["y"] - s["sy"])))
+        return out
+
+    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, x double, y double, error double")
+
+
+@query()
+def snr_aperture(spark, sf_dir):
+    run = lambda frame, img, stars: [(frame, k, psf.aperture_snr(img, s["sx"], s["sy"], 4.2), psf.half_flux_radius(stamp - 1000, 10 + s["sx"] - x, 10 + s["sy"] - y, 8.0)) for k, (s, x, y, stamp) in enumerate(_stamps(img, stars))]
+    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, snr double, hfr double")
+
+
+def _greedy(spark, sf_dir, keep: Callable) -> DataFrame:
+    """Runs a sequential rule on the stars of each of 16 strips, brightest first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.sort_by([("flux", "descending"), ("id", "ascending")])
+        return t.take(pa.array(keep(t["x"].to_numpy(), t["y"].to_numpy()), pa.int64())).select(["strip", "id"])
+
+    from ..shipping import ship
+
+    ship(spark)
+    s = v_imgstar(spark, sf_dir).withColumn("strip", F.floor(F.col("x") / 63).cast("int"))
+    return s.groupBy("strip").applyInArrow(run, "strip int, id long")
+
+
+STRIP = f"{IMGSTAR}, st AS (SELECT floor(x / 63)::INT AS strip, id, x, y, row_number() OVER (PARTITION BY floor(x / 63)::INT ORDER BY flux DESC, id) AS rn FROM imgstar)"
+
+
+def _nms_sql(radius: float, strict: bool) -> str:
+    test = "<" if strict else "<="
+    return f"""WITH RECURSIVE {STRIP}, lst AS (SELECT strip, list({{'id': id, 'x': x, 'y': y}} ORDER BY rn) AS l FROM st GROUP BY strip),
+go AS (SELECT strip, l, 1 AS k, [l[1]] AS kept FROM lst UNION ALL SELECT strip, l, k + 1, CASE WHEN len(list_filter(kept, lambda q: (q.x - l[k + 1].x) * (q.x - l[k + 1].x) + (q.y - l[k + 1].y) * (q.y - l[k + 1].y) {test} {radius * radius}::DOUBLE)) > 0 THEN kept ELSE list_append(kept, l[k + 1]) END FROM go WHERE k < len(l))
+SELECT strip, unnest(kept).id AS id FROM go WHERE k = len(l)"""
+
+
+@query(_nms_sql(24.0, False))
+def nms_greedy(spark, sf_dir):
+    return _greedy(spark, sf_dir, lambda x, y: detection.suppress(x, y, 24.0))
+
+
+@query(_nms_sql(9.0, True))
+def centroid_dedup(spark, sf_dir):
+    return _greedy(spark, sf_dir, lambda x, y: detection.suppress(x, y, 9.0, strict=True))
+
+
+@query()
+def blend_chain(spark, sf_dir):
+    """Order-dependent blend rejection (a chain's far end survives; tested in pytest)."""
+    return _greedy(spark, sf_dir, lambda x, y: np.flatnonzero(~detection.blended(x, y, 12.0)).tolist())
+
+
+@query()
+def jpeg_size(spark, sf_dir):
+    """Bytes of each frame as a JPEG (content is tested in pytest)."""
+    run = lambda frame, img: [(frame, len(images.jpeg(np.repeat(np.minimum(img, 255)[..., None], 3, 2))))]
+    return per_frame(frames(v_pix(spark, sf_dir), 50), run, "frame long, bytes long")
+
+
+@query(_trip_sql("floor(least(v, 255))"))
+def png_roundtrip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, lambda p: images.unpng(images.png(np.floor(np.minimum(p[0], 255))))[None])
