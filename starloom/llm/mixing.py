@@ -102,12 +102,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weigh
     offsets = groups.select(F.col("key").alias("_key"), F.col("head").alias("_head"), before.alias("_before"))
     shares = parts(groups.groupBy("key").agg(F.sum("n").alias("n")), period, weights, alpha)
     schedule = period_schedule(shares)
-    # The slot at which a source runs dry, and from these the horizon: one row a source.
-    blocks = F.ceil(F.col("n") / block)
+    # The slot at which a source would need a block more than it has, and from these the horizon: one row a source.
     everything = Window.partitionBy()
-    dry = shares.withColumn("dry", blocks / F.col("part")).withColumn("size", F.sum("part").over(everything))
+    dry = shares.withColumn("size", F.sum("part").over(everything)).withColumn("dry", F.floor(F.ceil(F.col("n") / block) * F.col("size") / F.col("part")))
     dry = dry.withColumn("live", 1 - F.coalesce(F.sum("part").over(Window.partitionBy().orderBy("dry").rangeBetween(Window.unboundedPreceding, 0)), F.lit(0)) / F.col("size"))
-    horizon = dry.agg(F.min(F.when(F.col("live") < min_live, F.col("dry"))).alias("_periods"))
+    horizon = dry.agg(F.min(F.when(F.col("live") < min_live, F.col("dry"))).alias("_horizon"))
     plan = shares.select(F.col("key").alias("_key"), F.col("part").alias("_part"), F.sum("part").over(everything).alias("_size")).crossJoin(F.broadcast(horizon))  # one row
     plan = plan.join(schedule.select(F.col("key").alias("_key"), "k", "offset"), "_key")
 
@@ -125,5 +124,5 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weigh
         F.floor(F.col("block") * F.col("_size") / F.col("_part")).cast("long").alias("release"),
         F.ceil((F.col("block") + 1) * F.col("_size") / F.col("_part")).cast("long").alias("deadline"),
         F.col("position").cast("long").alias("position"),
-        (slot < F.coalesce(F.ceil(F.col("_periods")) * F.col("_size"), F.lit(2**62))).alias("in_mix"),
+        (slot < F.coalesce(F.col("_horizon"), F.lit(2**62))).alias("in_mix"),
     )

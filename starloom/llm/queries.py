@@ -74,11 +74,11 @@ WITH RECURSIVE doc AS (
 ), schedule AS (
   SELECT ks[pick] AS key, slot - 1 AS off, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS k FROM edf WHERE pick > 0
 ), dry AS (
-  SELECT key, part, ceil(n / {mixing.BLOCK}::DOUBLE) / part AS dry, sum(part) OVER () AS size FROM share
+  SELECT key, part, (ceil(n / {mixing.BLOCK}::DOUBLE)::BIGINT * size) // part AS dry, size FROM share, (SELECT sum(part)::BIGINT AS size FROM share)
 ), live AS (
   SELECT dry, 1 - sum(part) OVER (ORDER BY dry RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / size::DOUBLE AS live FROM dry
 ), horizon AS (
-  SELECT min(dry) AS periods FROM live WHERE live < {mixing.MIN_LIVE}
+  SELECT min(dry) AS horizon FROM live WHERE live < {mixing.MIN_LIVE}
 ), placed AS (
   SELECT doc_id, source, key, row_number() OVER (PARTITION BY key ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS position FROM doc
 ), blocks AS (
@@ -86,7 +86,7 @@ WITH RECURSIVE doc AS (
 )
 SELECT doc_id, source, ((block // part) * b.size + off)::BIGINT AS slot, block::BIGINT AS block,
        ((block * b.size) // part)::BIGINT AS release, (-((-(block + 1) * b.size) // part))::BIGINT AS deadline, position::BIGINT AS position,
-       coalesce((block // part) * b.size + off < ceil(periods) * b.size, true) AS in_mix
+       coalesce((block // part) * b.size + off < horizon, true) AS in_mix
 FROM blocks b JOIN schedule c ON c.key = b.key AND c.k = b.block % b.part CROSS JOIN horizon
 """
 

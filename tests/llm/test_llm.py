@@ -1,0 +1,398 @@
+"""The training-data operators against brute force, and on odd tables."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from starloom.llm import ann, bpe, html_extract, minhash, mixing, quality, queries, secret_scan, toxicity, urls, warc
+from starloom.llm.common import Scratch
+from starloom.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+# Null, empty and white texts, a very long one, repeated rows, and columns whose names operators use inside.
+TEXTS = [None, "", " \t\n", "one", "a b c d e f g h i j k", "Same words here, just a few of them " * 3, "x" * 300_000, "word " * 40_000, "Token = 'abcdefABCDEF123456' end", "ÀÉ ñandú 日本 <|endoftext|> it's 12 30"]
+
+
+def odd(spark):
+    rows = [(i, t, 1, 2.0, "k") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], 1, 2.0, "k"), (50, TEXTS[5], 1, 2.0, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n int, score double, source string").withColumn("key", F.lit(1)).withColumn("node", F.lit(2))
+
+
+def empty(spark):
+    return odd(spark).where("false")
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def brute_quality(t):
+    t = t or ""
+    w = WORD.findall(t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    windows = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in quality.SYMBOLS), dup, len(covered)
+
+
+def test_quality(spark):
+    for df in (odd(spark), documents(spark)):
+        texts = collections.defaultdict(list)
+        for r in df.collect():
+            texts[r.doc_id].append(r.text)
+        got = quality.judge(df).collect()
+        assert len(got) == df.count()
+        for r in got:
+            want = brute_quality(texts[r.doc_id][0])
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+            assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+            assert not (r.base_failed and r.kept)
+    assert quality.judge(empty(spark)).count() == 0
+
+
+def test_quality_order_never_changes_the_verdict(spark):
+    import pyarrow as pa
+
+    texts = pa.array([r.text for r in documents(spark).collect()], pa.large_string())
+    every = np.ones(len(texts), bool)
+    assert (quality.cascade(texts, every, quality.RULES)[0] == quality.cascade(texts, every, quality.RULES[::-1])[0]).all()
+    order = quality.estimate(documents(spark), "text")
+    assert [x["gain"] for x in order] == sorted((x["gain"] for x in order), reverse=True)
+
+
+def test_quality_agrees_with_labels(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(labels, "doc_id")
+    n = {(r.quality, r.kept): r["count"] for r in got.where("not base_failed").groupBy("quality", "kept").count().collect()}
+    assert n.get((1, False), 0) <= 0.01 * n[1, True] and n.get((0, True), 0) <= 0.2 * n[0, False]
+
+
+def test_bpe_matches_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.VOCABULARY)
+    random.seed(5)
+    alphabet = [*"abst'  \n\t're ll12ñé,.!<|  ́²日本😀\r", "<|endoftext|>", "'s", "'ll", "\n "]
+    fuzz = [(i, "".join(random.choice(alphabet) for _ in range(random.randint(0, 40)))) for i in range(2000)]
+    for df in (odd(spark), documents(spark), spark.createDataFrame(fuzz, "doc_id long, text string")):
+        texts = {r.doc_id: r.text or "" for r in df.collect()}
+        got = bpe.round_trip(df, queries.VOCABULARY, with_ids=True).collect()
+        assert len(got) == df.count()
+        for r in got:
+            ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
+            assert r.ids == ids and r.n_tokens == len(ids)
+            assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+            assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.round_trip(empty(spark), queries.VOCABULARY).count() == 0
+    back = bpe.decode(bpe.encode(odd(spark), queries.VOCABULARY), queries.VOCABULARY).where("doc_id = 9").first()
+    assert back.text == TEXTS[9]
+
+
+def test_warc(spark, tmp_path):
+    big = "<p>" + "é" * 200_000 + "</p>"
+    rows = [(1, "http://a/x", "p" * 100), (2, None, "p" * 100), (3, "http://a b/", "p" * 99), (4, "u", "p" * 99), (5, "u", None), (6, "u", ""), (7, "u", big), (7, "u", big), (9, "u", big)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("first", F.lit(1))
+    got = warc.archive(spark, df).collect()
+    assert len(got) == len(rows)
+    payload = {r[0]: (r[2] or "").encode() for r in rows}
+    for r in got:
+        p = payload[r.page_id]
+        assert (r.payload_bytes, r.payload_digest) == (len(p), hashlib.sha256(p).hexdigest())
+        assert r.record_type == ("revisit" if r.page_id in (2, 9) else "response")
+        assert r.refers_to == {2: 1, 9: 7}.get(r.page_id)
+        assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == p
+    assert warc.archive(spark, df.where("false")).count() == 0
+
+
+def test_warc_bundle_is_seekable_and_plain_zstd(tmp_path):
+    import zstandard
+    from pyarrow import fs
+
+    bundle, records = warc.Bundle(), [warc.record(i, "u", bytes([65 + i % 20]) * 90_000, "d", "response", None) for i in range(40)]
+    places = [bundle.add(r) for r in records]
+    (tmp_path / "b").write_bytes(data := bundle.close())
+    assert len({f for f, _ in places}) > 5
+    reader = warc.BundleReader(fs.LocalFileSystem().open_input_file(str(tmp_path / "b")))
+    for r, (f, o) in random.Random(1).sample(list(zip(records, places, strict=True)), 20):
+        assert reader.read(f, o, len(r)) == r
+    assert zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read() == b"".join(records)
+
+
+PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li>Menu</ul></nav>
+<div class="ad">Buy</div><div class="cookie-notice">We use cookies</div><article><h1>Head &amp; more</h1><p><b>One&nbsp; two.<br><p>Three
+ four.<!-- no --></p><aside>Side</aside><form>Name</form><div id="comments"><p>First!</p></div></article><footer>&copy; x</footer></body></html>"""
+
+
+def test_html_text():
+    assert html_extract.main_text(html_extract.lines(PAGE), None) == "Head & more\nOne two.\nThree four."
+    plain = "<div>Site name</div><p>My story.</p><div>All rights</div>"
+    other = "<div>Site name</div><p>Another.</p><div>All rights</div>"
+    assert html_extract.main_text(html_extract.lines(plain), html_extract.lines(other)) == "My story."
+    twin = html_extract.lines(PAGE)
+    assert html_extract.main_text(twin, twin) == "Head & more\nOne two.\nThree four."
+    assert html_extract.lines("") == [] and html_extract.lines("<p") and html_extract.main_text(html_extract.lines("<nav>x<article><p>y"), None) == "y"
+
+
+def test_lcs_against_dynamic_programming():
+    rng = random.Random(1)
+    for _ in range(500):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
+        got, rest = sorted(html_extract.shared_lines(a, b)), iter(b)
+        assert len(got) == d[-1][-1] and all(a[k] in rest for k in got)
+
+
+def test_html_table(spark):
+    rows = [(1, "http://h/a/1", PAGE), (2, "http://h/a/2", PAGE), (2, "http://h/a/2", PAGE), (3, None, None), (4, "x", ""), (5, "http://h/" + "p" * 9999, "<p>" + "w " * 100_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("path", F.lit(1)).withColumn("id", F.lit(1))
+    got = html_extract.extract(df).collect()
+    assert len(got) == 6 and all(r.n_chars == len(r.text) for r in got)
+    text = {r.page_id: r.text for r in got}
+    assert text[1] == text[2] == "Head & more\nOne two.\nThree four." and text[3] == text[4] == "" and text[5] == ("w " * 100_000).strip()
+    assert html_extract.extract(df.where("false")).count() == 0
+
+
+def test_toxicity_grammar():
+    g = toxicity.grammar()
+    score = lambda *s: g.run(list(s))[1]
+    t = toxicity
+    plain, attack = score(t.INSULT), score(t.TARGET, t.OTHER, t.INSULT)
+    assert attack > plain > score(t.NEGATION, t.INSULT) and plain > score(t.REPORT, t.OTHER, t.INSULT)
+    assert score(t.THREAT, t.TARGET) > score(t.THREAT) == 0 and score(t.TARGET) == 0
+
+
+def test_toxicity_held_out(spark):
+    d, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = toxicity.score(d.join(labels.select("doc_id"), "doc_id"), labels).join(labels, "doc_id").where("held_out").collect()
+    hit = collections.Counter((r.toxic, r.predicted) for r in got)
+    assert hit[1, 1] > 0.75 * (hit[1, 1] + hit[1, 0]) and hit[0, 1] <= 0.01 * (hit[0, 0] + hit[0, 1])
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+
+
+def test_toxicity_odd_tables(spark):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(6)] + [(7, 1, None), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    for own in (labels, labels.where("false"), labels.where("toxic = 1")):
+        got = toxicity.score(odd(spark), own).collect()
+        assert len(got) == 12 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert toxicity.score(empty(spark), labels).count() == 0
+
+
+def brute_secrets(t):
+    pattern = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    out = [(m.start(), "assign", m.end()) for m in pattern.finditer(t) if len(m.group(2)) >= 12]
+    out += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 18]
+    out += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 16]
+    return sorted(out, key=lambda x: (x[0], secret_scan.KINDS.index(x[1])))
+
+
+def test_secrets(spark):
+    rng = random.Random(3)
+    parts = ["password", "TOKEN", "api_key", "Apikey", "secret", "=", ":", " ", '"', "'", "AKIA", "ABCD1234", "ab12", "deadbeef00", "é", "K", "ſ", "x.y-z", "\n"]
+    fuzz = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))) for i in range(3000)]
+    for df in (odd(spark), documents(spark), spark.createDataFrame(fuzz, "doc_id long, text string")):
+        texts = {r.doc_id: r.text or "" for r in df.collect()}
+        got = secret_scan.find(df).collect()
+        assert len(got) == df.count()
+        for r in got:
+            base = brute_secrets(texts[r.doc_id])
+            assert r.base_sha256 == hashlib.sha256(secret_scan.joined(base).encode()).hexdigest()
+            assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in base) for k in secret_scan.KINDS[:3])
+            assert not base or set(secret_scan.joined(base).split(",")) <= set(r.spans.split(","))
+    assert secret_scan.find(empty(spark)).count() == 0
+
+
+def test_entropy():
+    rng = random.Random(2)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(40))
+    direct = lambda s, w: max(-sum(c / w * math.log2(c / w) for c in collections.Counter(s[i : i + w]).values()) for i in range(len(s) - w + 1))
+    assert abs(secret_scan.peak_entropy(key, 24) - direct(key, 24)) < 1e-9
+    assert secret_scan.entropy_spans(key) == [(0, 40)]
+    for fine in ("123e4567-e89b-12d3-a456-426614174000", "abcdefghijklmnopqrstuvwxyz", "2024-01-01T00-00-00-000000", "aaaaaaaaaaaaaaaa1111Aaaaaaaaaaaa"):
+        assert secret_scan.entropy_spans(fine) == []
+
+
+def test_redaction(spark):
+    df = odd(spark).withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: r for r in secret_scan.clean(df, length_col="n_chars").collect()}
+    assert got[8].text == "[SECRET] end"[:8] + "' end" and got[8].n_chars == len(got[8].text) and got[0].text is None and got[5].text == TEXTS[5]
+
+
+def test_urls(spark):
+    rows = [(1, "http://a.NET/x?y", None), (2, "https://www.example.net/en/1#t", "<p>blue bird blue bird</p>"), (3, "http://example.com/de/", ""), (4, "ftp://x.org/fr/a", None), (5, None, "blue"), (6, "nothing", "bird"), (7, "http://bluebird.com", None), (7, "http://bluebird.com", None), (8, "http://myexample.net", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("rule", F.lit("x"))
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    assert [(got[k].host, got[k].path, got[k].rule) for k in (1, 2, 3, 4, 5, 6, 7, 8)] == [("a.net", "/x", "net/"), ("www.example.net", "/en/1", "example.net/en/"), ("example.com", "/de/", "example.com/de/"), ("x.org", "/fr/a", "org/fr/"), ("", "", None), ("", "", None), ("bluebird.com", "", None), ("myexample.net", "", None)]
+    assert [got[k].verdict for k in (1, 2, 3, 4)] == ["block", "allow", "block", "allow"] and all(r.verdict in ("allow", "block") for r in got.values())
+    assert got[7].tokens == "h:blue h:bird" and urls.judge(df).count() == 9 and urls.judge(df.where("false")).count() == 0
+
+
+def test_viterbi_against_all_splits():
+    seg = urls.Segmenter({"blue": 5, "bird": 4, "blu": 1, "e": 2, "ebird": 1}, 13)
+    splits = lambda s: [[s]] + [[s[:k], *r] for k in range(1, len(s)) for r in splits(s[k:])]
+    for name in ("bluebird", "bluxbird", "eeblue", "q"):
+        cost = lambda ws: sum(seg._cost(w) for w in ws)
+        assert abs(cost(seg.split(name)) - min(map(cost, splits(name)))) < 1e-9
+
+
+def brute_components(rows, width, percent=80):
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(lower))
+        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)]) if w else frozenset()
+    parent = {i: i for i in sets}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[:x]:
+            if sets[a] and sets[b] and min(len(sets[a]), len(sets[b])) * 100 >= percent * max(len(sets[a]), len(sets[b])):
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    p, q = sorted((find(a), find(b)))
+                    parent[q] = p
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_copies():
+    """A base text and copies with one to twelve words changed: some are linked only through others."""
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(120)]
+    out = []
+    for i in range(160):
+        w = list(base)
+        for k in rng.sample(range(120), rng.choice([0, 1, 2, 3, 5, 8, 12])):
+            w[k] = rng.choice(["the", "a", f"v{rng.randint(0, 30)}"])
+        out.append((1000 + i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_duplicates(spark, width):
+    for df in (odd(spark), spark.createDataFrame(near_copies(), "doc_id long, text string"), documents(spark)):
+        want = brute_components([(r.doc_id, r.text) for r in df.collect()], width)
+        got = minhash.group(df, settings=minhash.Settings(width=width)).collect()
+        assert len(got) == df.count()
+        for r in got:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+    assert minhash.group(empty(spark)).count() == 0
+
+
+def test_keep_one(spark):
+    kept = sorted(r.doc_id for r in minhash.keep_one(odd(spark)).collect())
+    assert kept == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
+
+
+def test_components_of_long_paths(spark):
+    links = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (5, 5)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), "t").collect()}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100}
+
+
+def test_mixing_windows(spark):
+    rows = [(i, "abcd"[min(3, i % 7)]) for i in range(3000)] + [(5000 + i, None) for i in range(40)] + [(9000, "a"), (9000, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("slot", F.lit(1)).withColumn("key", F.lit(2)).withColumn("part", F.lit(2))
+    for weights in (None, {"a": 0.5, "b": 0.3, "c": 0.1}):
+        got = mixing.mix(df, weights=weights, period=100, block=4).collect()
+        assert len(got) == len(rows)
+        assert all(r.release <= r.slot < r.deadline for r in got)
+        by_slot = collections.defaultdict(set)
+        for r in got:
+            by_slot[r.slot].add((r.source, r.block))
+        assert all(len(x) == 1 for x in by_slot.values())
+        for s in {r[1] for r in rows}:
+            own = sorted(r.position for r in got if r.source == s)
+            assert own == list(range(len(own)))
+    assert mixing.mix(df.where("false")).count() == 0
+
+
+def test_mixing_deviation(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"))
+    got = mixing.mix(df, weights={"a": 0.4, "s0": 0.3, "s1": 0.1, "s2": 0.1, "s3": 0.05, "s4": 0.05}, period=50, block=1, min_live=1.0).where("in_mix").collect()
+    order = [r.source for r in sorted(got, key=lambda r: r.slot)]
+    part = collections.Counter(order[:50])
+    seen = collections.Counter()
+    for t, s in enumerate(order, 1):
+        seen[s] += 1
+        assert all(abs(seen[x] - t * part[x] / 50) < 1 for x in part)
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((1500, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [(3000 + i, vectors[100].tolist()) for i in range(40)] + [(4000, None), (4100, []), (4200, [0.0] * 16), (4300, [float("nan")] * 16), (4400, [None] + [1.0] * 15), (4500, [1.0] * 3), (4600, [2.0] * 3), (200, vectors[200].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit(1)).withColumn("v", F.lit(1))
+    got = collections.defaultdict(list)
+    for r in ann.neighbours(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    live = {i: np.array(v, float) for i, v in rows if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)}
+    hits = total = 0
+    for q in (i for i in live if i % 100 == 0):
+        exact = sorted((math.dist(live[q], v), i) for i, v in live.items() if i != q)[:10]
+        assert [r for r, *_ in got[q]] == list(range(1, 11)) and [(s, i) for _, i, s in got[q]] == sorted((s, i) for _, i, s in got[q])
+        assert all(abs(s - math.dist(live[q], live[i])) < 1e-9 for _, i, s in got[q])
+        hits += len({i for _, i in exact} & {i for _, i, _ in got[q]})
+        total += 10
+    assert hits >= 0.95 * total
+    assert [i for _, i, _ in got[100]] == list(range(3000, 3010))
+    assert got[4500] == [(1, 4600, math.sqrt(3))] and not got[4200] and not got[4000] and ann.neighbours(df.where("false")).count() == 0
+
+
+def test_chi_square():
+    assert abs(ann.chi_square_cdf(ann.chi_square_quantile(0.99, 8), 8) - 0.99) < 1e-9 and abs(ann.chi_square_quantile(0.99, 8) - 20.09) < 0.01
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    docs, columns = documents(spark), documents(spark).columns
+    scratch = Scratch(spark, "t")
+    ids = lambda df: [r.doc_id for r in df.select("doc_id").collect()]
+    for k, (name, stage) in enumerate(p.STAGES[:-1]):
+        out = scratch.write(stage(spark, docs, SF), str(k))
+        assert out.columns == columns
+        if k == 0:
+            assert sorted(ids(out)) == sorted(r.doc_id for r in quality.judge(docs).where("kept").collect())
+        if k == 1:
+            groups = brute_components([(r.doc_id, r.text) for r in docs.collect()], 5)
+            assert sorted(ids(out)) == sorted({c for _, c in groups.values()})
+        if k == 2:
+            assert sorted(ids(out)) == sorted(ids(docs)) and not [r for r in out.collect() if brute_secrets(r.text)]
+        if k == 3:
+            assert set(ids(out)) <= set(ids(docs)) and len(ids(out)) == len(set(ids(out)))
+        docs = out
+    last = p.run(spark, SF)
+    assert sorted(ids(last)) == sorted(ids(docs)) and last.where("size(ids) <> n_tokens").count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_llm_oracles(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    cols = sorted(got.columns)
+    want = c.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.select(*cols).collect()))) == sorted(map(repr, want))
