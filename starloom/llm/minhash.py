@@ -9,9 +9,9 @@ components by alternating large-star and small-star.
 3. Star round: in each bucket the class with the most company is the hub, and
    every other class of the bucket is compared with it.
 4. Rest round: a bucket whose classes are in one component needs nothing more.
-   In any other, the classes outside its largest component are compared with
-   the classes of other components.  No link between components is lost, and a
-   dense group costs its size, not its square.
+   In any other, classes of different components are compared if the shingles
+   that they can share allow the threshold (``_rest_pairs``).  No link between
+   components is lost, and a dense group costs its size, not its square.
 5. Candidates must reach the threshold within ``SLACK`` standard deviations on
    signatures, and exactly on full sets.
 
@@ -41,6 +41,7 @@ from .components import components
 from .textnum import STEP, Flat, U, mix, window_hashes
 
 SLACK = 5.5
+RARE = 64
 
 
 @dataclass(frozen=True)
@@ -135,7 +136,7 @@ def _with_sets(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, widt
                 sets, off = shingle_sets(texts, width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(sets.view(np.int64)))], names=["node", "members"])
 
-    texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])  # one plan for every size: nodes grow with the rows
     return map_arrow(texts, run, "node long, members array<long>")
 
 
@@ -176,40 +177,75 @@ def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting
     hubs = ranked.groupBy("key").agg((-F.max("rank")["order"]).alias("hub"))
     stars = buckets.select("key", "node").join(hubs, "key").where("node <> hub").select("node", "hub").distinct()
     tried = scratch.write(_agreeing(stars, sig, s), "tried")
-    links = scratch.write(_verify(df, id_col, text_col, tried, scratch, "star", s), "links")
+    wanted = tried.select("node").union(tried.select(F.col("hub").alias("node"))).distinct()
+    sets = scratch.write(_with_sets(df, id_col, text_col, wanted, s.width), "sets")
+    links = scratch.write(_confirmed(tried, sets, s.percent), "links")
+    scratch.drop("sets")
     groups = scratch.write(components(links, scratch, "stars"), "groups")
 
-    rest = _rest_pairs(buckets, sig, groups, scratch, s).join(tried, ["node", "hub"], "left_anti").join(tried.select(F.col("node").alias("hub"), F.col("hub").alias("node")), ["node", "hub"], "left_anti")
+    members = _unsettled(buckets, sig, groups, scratch)
+    sets = scratch.write(_with_sets(df, id_col, text_col, members.select("node").distinct(), s.width), "sets")
+    rest = _rest_pairs(members, sets, scratch, s).join(tried, ["node", "hub"], "left_anti").join(tried.select(F.col("node").alias("hub"), F.col("hub").alias("node")), ["node", "hub"], "left_anti")
     rest = scratch.write(_agreeing(rest, sig, s), "rest")
     if not rest.isEmpty():
-        more = scratch.write(_verify(df, id_col, text_col, rest, scratch, "rest", s), "more")
+        more = scratch.write(_confirmed(rest, sets, s.percent), "more")
         if not more.isEmpty():
             groups = scratch.write(components(links.union(more), scratch, "all"), "final")
-    scratch.drop("buckets")
+    for name in ("buckets", "sets", "rare", "unsettled", "able", "bounds", "nodes"):
+        scratch.drop(name)
     labelled = classes.join(groups, "node", "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("label"))
     out = ready.select("id", "n", "d1", "d2").join(labelled, ["d1", "d2", "n"], "left")
     component = F.coalesce("label", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def _verify(df: DataFrame, id_col: str, text_col: str, pairs: DataFrame, scratch: Scratch, tag: str, s: Settings) -> DataFrame:
-    wanted = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
-    sets = scratch.write(_with_sets(df, id_col, text_col, wanted, s.width), f"{tag}-sets")
-    return _confirmed(pairs, sets, s.percent)
-
-
-def _rest_pairs(buckets: DataFrame, sig: DataFrame, groups: DataFrame, scratch: Scratch, s: Settings) -> DataFrame:
-    """Pairs of different components in one bucket, one side outside the bucket's largest component."""
+def _unsettled(buckets: DataFrame, sig: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node, label, n) of the buckets whose classes are not all in one component."""
     labelled = buckets.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    labelled = labelled.join(sig.select("node", "n"), "node")
-    labelled = scratch.write(labelled, "labelled")
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    counts = labelled.join(open_keys, "key", "left_semi").groupBy("key", "label").agg(F.count("*").alias("size"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("main"))
-    left = labelled.join(largest, "key").where("label <> main")
-    right = labelled.select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("hub_n"))
-    fit = (F.col("label") != F.col("hub_label")) & ((F.col("hub_label") == F.col("main")) | (F.col("node") < F.col("hub"))) & (F.col("n") * 100 >= F.col("hub_n") * s.percent) & (F.col("hub_n") * 100 >= F.col("n") * s.percent)
-    return left.join(right, "key").where(fit).select("node", "hub").distinct()
+    labelled = scratch.write(labelled.join(sig.select("node", "n"), "node"), "labelled")
+    unsettled = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    members = scratch.write(labelled.join(unsettled, "key"), "unsettled")
+    scratch.drop("labelled")
+    return members
+
+
+def _rest_pairs(members: DataFrame, sets: DataFrame, scratch: Scratch, s: Settings) -> DataFrame:
+    """Pairs of different components that share a bucket and could still reach the threshold.
+
+    A shingle is rare if at most ``RARE`` classes of unsettled buckets have it.
+    Two sets share at most their c common-place shingles, plus the rare ones
+    that the index of rare shingles lists for both.  So a pair is either one
+    whose c allow the threshold, or one that meets in short lists of the index;
+    all others, in a dense group nearly all, are never made.
+    """
+    entries = sets.select("node", F.explode("members").alias("shingle"))
+    few = scratch.write(entries.groupBy("shingle").agg(F.count("*").alias("f"), F.min("node").alias("only")).where(F.col("f") <= RARE), "few")
+    own = few.where("f = 1").groupBy(F.col("only").alias("node")).agg(F.count("*").alias("own"))
+    rare = scratch.write(entries.join(few.where("f > 1").select("shingle"), "shingle"), "rare")
+    shared = rare.groupBy("node").agg(F.count("*").alias("shared"))
+
+    # c: shingles that aren't rare; reach: the largest partner that c allows.
+    c = F.col("n") - F.col("own") - F.col("shared")
+    reach = lambda x: x * (100 + s.percent) / s.percent - F.col("n")
+    nodes = members.select("node", "label", "n").distinct().join(own, "node", "left").join(shared, "node", "left").na.fill(0, ["own", "shared"])
+    nodes = scratch.write(nodes.select("node", "label", "n", "own", c.alias("c"), reach(c).alias("reach")), "bounds")
+    scratch.drop("few")
+
+    inside = members.select("key", "node").join(nodes, "node")
+    counts = inside.groupBy("key", "label").agg(F.count("*").alias("size"), F.min("n").alias("n"), F.max("reach").alias("reach"))
+    limits = counts.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("main"), F.min("n").alias("least"), F.max("reach").alias("furthest"))
+    able = scratch.write(inside.join(limits, "key").where("reach >= least AND n <= furthest").select("key", "node", "label", "n", "reach", "main"), "able")
+    hubs = able.select("key", *[F.col(x).alias(f"hub_{x}") for x in ("node", "label", "n", "reach")])
+    fit = (F.col("label") != F.col("hub_label")) & ((F.col("hub_label") == F.col("main")) | (F.col("node") < F.col("hub_node"))) & (F.col("n") <= F.col("hub_reach")) & (F.col("hub_n") <= F.col("reach"))
+    first = able.where("label <> main").join(hubs, "key").where(fit).select("node", F.col("hub_node").alias("hub")).distinct()
+
+    usable = nodes.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * s.percent)
+    listed = rare.join(usable.select("node", "label", "n", "c"), "node")
+    other = listed.select("shingle", *[F.col(x).alias(f"hub_{x}") for x in ("node", "label", "n", "c")])
+    met = listed.join(other, "shingle").where((F.col("node") < F.col("hub_node")) & (F.col("label") != F.col("hub_label")) & (F.col("n") * 100 >= F.col("hub_n") * s.percent) & (F.col("hub_n") * 100 >= F.col("n") * s.percent))
+    met = met.groupBy("node", "hub_node", "n", "hub_n", "c", "hub_c").agg(F.count("*").alias("both"))
+    second = met.where((F.least("c", "hub_c") + F.col("both")) * (100 + s.percent) >= (F.col("n") + F.col("hub_n")) * s.percent).select("node", F.col("hub_node").alias("hub"))
+    return first.union(second).distinct()
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
