@@ -124,3 +124,26 @@ class FrameConverter:
 
         frames = read_frames(self.spark, path).where("error is null").select("path", "width", "height", "channels", "dtype", "flip", "data")
         return map_arrow(frames, run, "path string, image binary")
+
+
+def save_images(encoded: DataFrame, folder: str, suffix: str) -> DataFrame:
+    """Writes each (path, image) to a file of its own in a shared folder; (path, file, bytes) of what was written.
+
+    Files are written under a temporary name and renamed, so a task that runs
+    again leaves whole files; running the result is what writes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        disk, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        disk.create_dir(root, recursive=True)
+        for batch in batches:
+            for row in batch.to_pylist():
+                name = f"{root}/{row['path'].rsplit('/', 1)[-1].rsplit('.', 1)[0]}.{suffix}"
+                with disk.open_output_stream(f"{name}.tmp") as out:
+                    out.write(row["image"])
+                disk.move(f"{name}.tmp", name)
+                yield pa.RecordBatch.from_pydict({"path": pa.array([row["path"]], pa.string()), "file": pa.array([name], pa.string()), "bytes": pa.array([len(row["image"])], pa.int64())})
+
+    return map_arrow(encoded.select("path", "image"), run, "path string, file string, bytes long")

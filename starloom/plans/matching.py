@@ -136,3 +136,23 @@ def ellipse_vertices(spark, sf_dir):
     t = 2 * F.pi() * F.col("k") / 64
     p, q = F.col("semi_major") * F.cos(t), F.col("semi_minor") * F.sin(t)
     return a.select("frame_id", "k1", "k2", "k3", "k", F.round(F.col("ax") + p * F.cos("theta") - q * F.sin("theta"), 4).alias("vx"), F.round(F.col("ay") + p * F.sin("theta") + q * F.cos("theta"), 4).alias("vy"))
+
+
+@query()
+def annotation_layer(spark, sf_dir):
+    """Painted pixels of each frame's layer of its fifty brightest stars (the drawing is tested in pytest)."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..operators import annotate
+    from ..shipping import ship
+
+    ship(spark)
+    stars = _annotations(spark, sf_dir).join(v_star(spark, sf_dir).select("frame_id", "k1", "k2", "k3", "flux", "ecc"), ["frame_id", "k1", "k2", "k3"])
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("flux", "descending"), ("k1", "ascending"), ("k2", "ascending"), ("k3", "ascending")]).slice(0, 50).to_pylist()
+        out = annotate.layer([r | {"x": r["ax"], "y": r["ay"]} for r in rows], 500, 500)
+        return pa.table({"frame_id": pa.array([rows[0]["frame_id"]], pa.int64()), "painted": pa.array([int(np.count_nonzero(out[..., 3]))], pa.int64())})
+
+    return stars.groupBy("frame_id").applyInArrow(run, "frame_id long, painted long")

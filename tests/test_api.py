@@ -42,3 +42,29 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("watched").count() == 1
+
+
+def test_saved_files(spark, tmp_path):
+    from starloom.api import save_images
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fits").write_bytes(fits.encode(field(STARS)[None], -32))
+    got = save_images(FrameConverter(spark).convert(str(tmp_path / "in"), "jpeg"), str(tmp_path / "out"), "jpg").collect()
+    assert (tmp_path / "out" / "a.jpg").stat().st_size == got[0].bytes
+
+
+def test_reference_table(spark, tmp_path):
+    from starloom.sources.frames import read_reference
+
+    (tmp_path / "r.csv").write_text('Report,1\nsomething\nIndex,File,FWHM,Stars\n1,"a, b.fits",2.5,100\n2,c.fits,oops,7\nshort\n')
+    got = {r.File: r for r in read_reference(spark, str(tmp_path / "r.csv")).collect()}
+    assert got["a, b.fits"].FWHM == 2.5 and got["c.fits"].FWHM == 0.0 and got["c.fits"].Stars == 7 and len(got) == 2
+
+
+def test_annotation_drawing():
+    from starloom.operators import annotate
+
+    out = annotate.layer([{"x": 50, "y": 25, "semi_major": 10, "semi_minor": 5, "theta": 0.0, "ecc": 0.8, "rgb": [0, 255, 0]}], 100, 60)
+    assert out[25, 60].tolist() == [0, 255, 0, 255] and out[20, 50, 3] == 255 and out[25, 50, 3] == 0 and out[25, 62, 3] == 255
+    assert len(annotate.thick(np.array([[5, 5]]), 3)) == 9 and annotate.line(0, 0, 3, 1).tolist() == [[0, 0], [1, 0], [2, 1], [3, 1]]
+    assert annotate.with_markers(np.zeros((20, 20)), [(10, 10)])[10, 12].tolist() == [255, 64, 64] and annotate.fit_panels(np.eye(4), np.eye(4)).shape == (32, 96, 3)
