@@ -87,7 +87,7 @@ def period_schedule(shares: DataFrame) -> DataFrame:
     return named.select("key", (F.row_number().over(Window.partitionBy("key").orderBy("offset")) - 1).cast("long").alias("k"), F.col("offset").cast("long").alias("offset"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: Mapping[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, alpha: float = ALPHA, min_live: float = MIN_LIVE, rows_per_group: int = 3_000) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: Mapping[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, alpha: float = ALPHA, min_live: float = MIN_LIVE, rows_per_group: int = 1_000) -> DataFrame:
     """Every row with its slot, block, release and deadline (in slots), position within the source, and in_mix."""
     own = [c for c in df.columns if c not in ADDED]
     rows = df.select(*own, source_key(source_col).alias("_key"), F.md5(F.col(id_col).cast("string")).alias("_hash"))
