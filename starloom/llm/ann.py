@@ -34,7 +34,7 @@ from ..shipping import ship
 
 PROJECTIONS = 8  # even, so the chi-square distribution has a finite sum
 CONFIDENCE = 0.99
-LEAF = 48
+LEAF = 256
 MOST_ROWS, LEAST_ROWS, QUERIES = 65_536, 1_024, 4_096
 
 
@@ -64,14 +64,15 @@ def projection(dim: int, m: int = PROJECTIONS, seed: int = 11) -> np.ndarray:
 class KdTree:
     """Median splits along the widest side; boxes are those of the points."""
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+    def __init__(self, points: np.ndarray, leaf: int | None = None):
         self.points = points
         self.order = np.arange(len(points))
         self.low: list[np.ndarray] = []
         self.high: list[np.ndarray] = []
         self.span: list[tuple[int, int]] = []
         self.kids: list[tuple[int, int] | None] = []
-        self._build(0, len(points), leaf)
+        self._build(0, len(points), leaf or LEAF)
+        self.lows, self.highs = np.array(self.low), np.array(self.high)
 
     def _build(self, a: int, b: int, leaf: int) -> int:
         own = self.points[self.order[a:b]]
@@ -88,29 +89,18 @@ class KdTree:
             self.kids[me] = (left, self._build(a + mid, b, leaf))
         return me
 
-    def bound(self, node: int, q: np.ndarray) -> float:
-        gap = np.maximum(np.maximum(self.low[node] - q, q - self.high[node]), 0)
-        return float(gap @ gap)
-
-    def incremental(self, q: np.ndarray):
-        """Yields (points, squared radius): batches of points, such that all points within the radius have come."""
-        heap = [(self.bound(0, q), 0)]
-        waiting, far = np.zeros(0, np.int64), np.zeros(0)
+    def leaves(self, q: np.ndarray):
+        """Yields (first, last, squared radius) of leaves in the tree's order, nearest box first; all points nearer than the radius stand in leaves that have come."""
+        gap = np.maximum(np.maximum(self.lows - q, q - self.highs), 0)
+        bound = np.einsum("ij,ij->i", gap, gap).tolist()
+        heap = [(bound[0], 0)]
         while heap:
             _, node = heapq.heappop(heap)
             while self.kids[node] is not None:
                 left, right = self.kids[node]
-                a, b = self.bound(left, q), self.bound(right, q)
-                node, other = (left, (b, right)) if a <= b else (right, (a, left))
-                heapq.heappush(heap, other)
-            own = self.order[slice(*self.span[node])]
-            gap = self.points[own] - q
-            waiting, far = np.concatenate([waiting, own]), np.concatenate([far, np.einsum("ij,ij->i", gap, gap)])
-            radius = heap[0][0] if heap else math.inf
-            come = far <= radius
-            if come.any():
-                yield waiting[come], radius
-                waiting, far = waiting[~come], far[~come]
+                node, other = (left, right) if bound[left] <= bound[right] else (right, left)
+                heapq.heappush(heap, (bound[other], other))
+            yield *self.span[node], (heap[0][0] if heap else math.inf)
 
 
 class Block:
@@ -123,21 +113,42 @@ class Block:
         for i, c in zip(ids[order].tolist(), inverse.ravel().tolist(), strict=True):
             if len(held[c]) <= k and (not held[c] or held[c][-1] != i):
                 held[c].append(i)
-        self.ids, self.k = held, k
+        self.k = k
         self.direction = projection(vectors.shape[1])
         self.tree = KdTree(self.vectors @ self.direction)
+        order = self.tree.order  # all arrays stand in the tree's order, so a leaf is a slice
+        self.vectors, self.points, self.ids = self.vectors[order], self.tree.points[order], [held[c] for c in order.tolist()]
+        self.squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
         self.limit = chi_square_quantile(confidence, PROJECTIONS)
 
     def search(self, q: np.ndarray) -> list[tuple[float, int]]:
-        """The k + 1 nearest (distance, id) found, ties to the smaller id."""
+        """The k + 1 nearest (distance, id) found, ties to the smaller id.
+
+        Projected neighbours come in the order of their projected distance, in
+        batches; products rule out those that can't be near, and the others'
+        distances are worked out on the original vectors.
+        """
         best: list[tuple[float, int]] = []
-        for found, radius in self.tree.incremental(q @ self.direction):
-            gap = self.vectors[found] - q
-            dist = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        p, square = q @ self.direction, float(q @ q)
+        waiting, far, near = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        for a, b, radius in self.tree.leaves(p):
+            gap = self.points[a:b] - p
+            waiting = np.concatenate([waiting, np.arange(a, b)])
+            far = np.concatenate([far, np.einsum("ij,ij->i", gap, gap)])
+            near = np.concatenate([near, self.squares[a:b] - 2 * (self.vectors[a:b] @ q) + square])
+            come = far <= radius
+            if not come.any():
+                continue
             worst = best[-1][0] if len(best) > self.k else math.inf
-            near = dist <= worst
-            best += [(d, i) for d, c in zip(dist[near].tolist(), found[near].tolist(), strict=True) for i in self.ids[c]]
-            best = sorted(set(best))[: self.k + 1]
+            maybe = waiting[come & (near <= worst * worst + 1e-6 * (square + worst * worst))] if worst < math.inf else waiting[come]
+            if len(maybe):
+                gap = self.vectors[maybe] - q
+                dist = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+                close = np.flatnonzero(dist <= worst)
+                if len(close) > 4 * self.k + 4:  # all that could be among the k + 1 nearest, ties included
+                    close = close[dist[close] <= np.partition(dist[close], self.k)[self.k]]
+                best = sorted({*best, *((float(dist[c]), i) for c in close.tolist() for i in self.ids[maybe[c]])})[: self.k + 1]
+            waiting, far, near = waiting[~come], far[~come], near[~come]
             if len(best) > self.k and radius >= self.limit * best[-1][0] ** 2 and radius > 0:
                 break
         return best
@@ -170,7 +181,7 @@ def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
     total = df.count()
-    size = max(LEAST_ROWS, min(MOST_ROWS, -(-total // (4 * spark.sparkContext.defaultParallelism))))
+    size = max(LEAST_ROWS, min(MOST_ROWS, -(-total // (2 * spark.sparkContext.defaultParallelism))))
     blocks, parts = max(1, -(-total // size)), max(1, -(-total // every // QUERIES))
     left = rows.withColumn("d", (F.monotonically_increasing_id() % blocks).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = asked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
