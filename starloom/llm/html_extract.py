@@ -3,10 +3,12 @@
 Method: within each host, pages are sorted by URL path, and every page is
 paired with the neighbour whose path has the longer common start.  The text
 lines of both are aligned by a longest common subsequence, and shared lines
-are deleted as template.  Lines inside the page's own article element are
-never template: copies of one article under two URLs keep it.  What markup
-names as menu, header, footer, sidebar, notice, advert, form or comments goes
-as well, since a template line may also stand on one page only.
+are deleted as template, inside the page's article element too; a line of an
+article is shared if it stands in the neighbour's article.  Copies of one
+article under two URLs keep it: if shared lines hold ``COPY`` of an article's
+characters or more, none of its lines is template.  What markup names as menu,
+header, footer, sidebar, notice, advert, form or comments goes as well, since a
+template line may also stand on one page only.
 
 Pages are exchanged once, by ranges of (host, path, id), so no host is held
 together.  A page at the edge of a range is paired with its neighbour inside
@@ -48,6 +50,7 @@ _attr = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _word = re.compile(r"[a-z]+")
 _space = re.compile(r"\s+")
 MAIN, PLAIN, BOILER = 2, 1, 0
+COPY = 0.5
 
 
 def _named_as_boiler(name: str, attrs: str, inside: bool) -> bool:
@@ -155,9 +158,9 @@ def lines(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
+def shared_lines(a: list, b: list) -> set[int]:
     """Indices in ``a`` of a longest common subsequence with ``b``, by bit-parallel rows."""
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, line in enumerate(a):
         where[line] = where.get(line, 0) | 1 << i
     ones = (1 << len(a)) - 1
@@ -179,11 +182,14 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(page: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
-    """The page's main lines: shared ones deleted outside its article, named boilerplate left out."""
-    gone = shared_lines([t for t, _ in page], [t for t, _ in neighbour]) if neighbour else set()
-    own = [(t, r) for k, (t, r) in enumerate(page) if r == MAIN or k not in gone]
-    best = MAIN if any(r == MAIN for _, r in own) else PLAIN
-    return "\n".join(t for t, r in own if r == best)
+    """The page's main lines: shared ones deleted, but for those of a copied article; named boilerplate left out."""
+    marked = lambda lines: [(t, r == MAIN) for t, r in lines]
+    gone = shared_lines(marked(page), marked(neighbour)) if neighbour else set()
+    article = {k: len(t) for k, (t, r) in enumerate(page) if r == MAIN}
+    if sum(n for k, n in article.items() if k in gone) >= COPY * sum(article.values()):
+        gone -= article.keys()
+    best = MAIN if article else PLAIN
+    return "\n".join(t for k, (t, r) in enumerate(page) if r == best and k not in gone)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -145,6 +145,15 @@ def test_html_text():
     assert html_extract.lines("") == [] and html_extract.lines("<p") and html_extract.main_text(html_extract.lines("<nav>x<article><p>y"), None) == "y"
 
 
+def test_html_template_lines_inside_the_article():
+    page = lambda title, *body: html_extract.lines(f"<nav>{title} two</nav><article><h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in ("Read our terms first.", *body, "Posted by the desk.")) + "</article>")
+    one, two = page("One", "A long first story of its own.", "It ends here, after all."), page("One two", "Another story, about something else.", "This one goes on.")
+    assert html_extract.main_text(one, two) == "One\nA long first story of its own.\nIt ends here, after all."
+    assert html_extract.main_text(two, one) == "One two\nAnother story, about something else.\nThis one goes on."
+    copy = page("One", "A long first story of its own.", "It ends here, after most.")
+    assert "Read our terms first." in html_extract.main_text(one, copy) and "A long first story of its own." in html_extract.main_text(one, copy)
+
+
 def test_lcs_against_dynamic_programming():
     rng = random.Random(1)
     for _ in range(500):
