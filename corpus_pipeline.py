@@ -2,8 +2,8 @@
 
 Every stage works on all that its predecessor kept.  Quality rules drop what
 they reject; near-duplicate groups keep their smallest id; secrets are cut out
-of the texts; mixing keeps what lies before the horizon of the target weights
-and writes it in schedule order; encoding returns the token ids.
+of the texts; mixing writes every document in schedule order, also beyond the
+slot at which sources run dry; encoding returns the token ids.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs).where("in_mix")
+    mixed = mixing.mix(docs)
     return mixed.repartitionByRange("slot").sortWithinPartitions("slot", "position").select(*docs.columns)
 
 

@@ -394,6 +394,16 @@ def test_pipeline(spark):
     assert sorted(ids(last)) == sorted(ids(docs)) and last.where("size(ids) <> n_tokens").count() == 0
 
 
+def test_pipeline_mixing_keeps_every_document(spark):
+    import corpus_pipeline as p
+
+    hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 20)).alias("source"), F.lit("t").alias("text"))
+    assert mixing.mix(hot).where("not in_mix").count() > 0
+    got = p.mix_sources(spark, hot, SF)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(3000))
+    assert [r.slot for r in mixing.mix(hot).join(got.withColumn("at", F.monotonically_increasing_id()).select("doc_id", "at"), "doc_id").orderBy("at").collect()] == sorted(r.slot for r in mixing.mix(hot).collect())
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_llm_oracles(spark, name):
     import duckdb
