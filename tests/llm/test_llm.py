@@ -250,6 +250,27 @@ def test_urls(spark):
     assert got[7].tokens == "h:blue h:bird" and urls.judge(df).count() == 9 and urls.judge(df.where("false")).count() == 0
 
 
+def test_urls_use_every_word(spark):
+    from itertools import product
+
+    letters = ["".join(x) for x in product("abcdefghijklmnopqrstuvwxyz", repeat=4)][:201_000]
+    long = "antidisestablishmentarianism"
+    rows = [(1, "http://zzyxzzyw.com", " ".join(2 * letters) + " zzyx zzyw " + long + " " + "q" * 99), (2, f"http://{long}zzyx.com", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    counts = {r.word: r.n for r in urls.count_words(df).collect()}
+    assert sum(counts.values()) == 402_004 and counts[""] == 1
+    got = {r.page_id: r.tokens for r in urls.judge(df).collect()}
+    assert got == {1: "h:zzyx h:zzyw", 2: f"h:{long} h:zzyx"}
+
+
+def test_urls_split_as_with_the_whole_model(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    counts = {r.word: r.n for r in urls.count_words(pages).collect()}
+    seg = urls.Segmenter({w: n for w, n in counts.items() if w}, sum(counts.values()))
+    got = urls.judge(pages).collect()
+    assert len(got) == pages.count() and all(r.tokens == " ".join(urls.host_tokens(r.host, seg) + urls.path_tokens(r.path)) for r in got)
+
+
 def test_viterbi_against_all_splits():
     seg = urls.Segmenter({"blue": 5, "bird": 4, "blu": 1, "e": 2, "ebird": 1}, 13)
     splits = lambda s: [[s]] + [[s[:k], *r] for k in range(1, len(s)) for r in splits(s[k:])]
