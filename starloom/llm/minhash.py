@@ -4,7 +4,8 @@ Method: many universal hash minima over word shingles with banding, checks of
 candidate pairs on signatures and then on full shingle sets, and connected
 components by alternating large-star and small-star.
 
-1. Documents with equal shingle sets form a class; only its smallest id goes on.
+1. Documents with equal shingle sets form a class, which is a node of its own
+   with the texts of its first row (by id, then text hash; null ids last).
 2. Band buckets are aggregated to their size; buckets of one class end here.
 3. Star round: in each bucket the class with the most company is the hub, and
    every other class of the bucket is compared with it.
@@ -21,8 +22,11 @@ Banding of 32 x 5 minima misses a pair at similarity 0.8 with a chance of
 Defined cases: white space other than [\\x20\\x09-\\x0D] belongs to words; a
 null or empty text, or one without words, has an empty set, is linked with
 nothing and kept; fewer words than a shingle form one shingle; repeated rows
-are in one class, and rows that share an id are one node; an empty table gives
-an empty result; other columns are ignored, whatever their names.
+are in one class; rows that share an id but not their text are nodes of their
+own, and of one component the first is kept; a component's id is its least id,
+null if it has null ids only, and a row with a null id is kept if no row with
+an id is linked with it and it is the first; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
@@ -94,8 +98,14 @@ def signatures(sets: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    """(at, mark) of a row, never null: its id, and a hash of its text and of whether the id is null."""
+    number = F.col(id_col).cast("long")
+    return [F.coalesce(number, F.lit(0).cast("long")).alias("at"), F.xxhash64(number.isNull(), F.coalesce(F.col(text_col), F.lit(""))).alias("mark")]
+
+
 def _prepare(df: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
-    """(id, n, d1, d2, sig, keys) per row; d1, d2 is a 128-bit digest of the set."""
+    """(id, mark, n, d1, d2, sig, keys) per row; d1, d2 is a 128-bit digest of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,15 +130,15 @@ def _prepare(df: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFram
                         keys[:, band] = h
                 lists = lambda a, kind: pa.ListArray.from_arrays(pa.array(sig_off * (a.shape[1] if len(a) else 0), pa.int32()), pa.array(np.ascontiguousarray(a).ravel().view(kind)))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), lists(sig, np.int32), lists(keys, np.int64)],
-                    names=["id", "n", "d1", "d2", "sig", "keys"],
+                    [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), lists(sig, np.int32), lists(keys, np.int64)],
+                    names=["id", "mark", "n", "d1", "d2", "sig", "keys"],
                 )
 
-    return map_arrow(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, n long, d1 long, d2 long, sig array<int>, keys array<long>")
+    return map_arrow(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _row_key(id_col, text_col)[1]), run, "id long, mark long, n long, d1 long, d2 long, sig array<int>, keys array<long>")
 
 
 def _with_sets(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, members) of the given nodes, from their whole texts."""
+    """(node, members) of the given nodes (node, at, mark), from the whole texts of their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,8 +146,8 @@ def _with_sets(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, widt
                 sets, off = shingle_sets(texts, width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(sets.view(np.int64)))], names=["node", "members"])
 
-    texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"])  # one plan for every size: nodes grow with the rows
-    return map_arrow(texts, run, "node long, members array<long>")
+    texts = df.select(*_row_key(id_col, text_col), F.col(text_col).alias("text")).join(nodes.hint("merge"), ["at", "mark"]).dropDuplicates(["at", "mark"])  # one plan for every size: nodes grow with the rows
+    return map_arrow(texts.select("node", "text"), run, "node long, members array<long>")
 
 
 def _agreeing(pairs: DataFrame, sig: DataFrame, s: Settings) -> DataFrame:
@@ -158,14 +168,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * percent).select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
-def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row."""
+def _group(df: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
+    """(id, mark, n, component, kept) of every row."""
     s, scratch = settings, Scratch(df.sparkSession, "minhash")
     ready = scratch.write(_prepare(df, id_col, text_col, s), "ready")
     whole = ready.where("n > 0")
-    classes = scratch.write(whole.groupBy("d1", "d2", "n").agg(F.min("id").alias("node")), "classes")
-    nodes = whole.join(classes.select("node"), whole.id == classes.node, "left_semi").select(F.col("id").alias("node"), "n", "sig", "keys").dropDuplicates(["node"])
-    nodes = scratch.write(nodes, "nodes")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first")
+    at = F.coalesce("first.id", F.lit(0).cast("long")).alias("at")
+    # Written before they are used, so that a node's number stays the same.
+    classes = scratch.write(whole.groupBy("d1", "d2", "n").agg(first).select("d1", "d2", "n", "first", at, F.col("first.mark").alias("mark"), F.monotonically_increasing_id().alias("node")), "classes")
+    rows = whole.select(F.coalesce("id", F.lit(0).cast("long")).alias("at"), "mark", "n", "sig", "keys")
+    nodes = scratch.write(rows.join(classes.select("at", "mark", "node"), ["at", "mark"]).select("node", "n", "sig", "keys").dropDuplicates(["node"]), "nodes")
+    places = classes.select("node", "at", "mark")
     sig = nodes.select("node", "n", "sig")
 
     entries = nodes.select("node", F.explode("keys").alias("key"))
@@ -178,13 +192,13 @@ def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting
     stars = buckets.select("key", "node").join(hubs, "key").where("node <> hub").select("node", "hub").distinct()
     tried = scratch.write(_agreeing(stars, sig, s), "tried")
     wanted = tried.select("node").union(tried.select(F.col("hub").alias("node"))).distinct()
-    sets = scratch.write(_with_sets(df, id_col, text_col, wanted, s.width), "sets")
+    sets = scratch.write(_with_sets(df, id_col, text_col, places.join(wanted, "node"), s.width), "sets")
     links = scratch.write(_confirmed(tried, sets, s.percent), "links")
     scratch.drop("sets")
     groups = scratch.write(components(links, scratch, "stars"), "groups")
 
     members = _unsettled(buckets, sig, groups, scratch)
-    sets = scratch.write(_with_sets(df, id_col, text_col, members.select("node").distinct(), s.width), "sets")
+    sets = scratch.write(_with_sets(df, id_col, text_col, places.join(members.select("node").distinct(), "node"), s.width), "sets")
     rest = _rest_pairs(members, sets, scratch, s).join(tried, ["node", "hub"], "left_anti").join(tried.select(F.col("node").alias("hub"), F.col("hub").alias("node")), ["node", "hub"], "left_anti")
     rest = scratch.write(_agreeing(rest, sig, s), "rest")
     if not rest.isEmpty():
@@ -193,10 +207,19 @@ def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting
             groups = scratch.write(components(links.union(more), scratch, "all"), "final")
     for name in ("buckets", "sets", "rare", "unsettled", "able", "bounds", "nodes"):
         scratch.drop(name)
-    labelled = classes.join(groups, "node", "left").select("d1", "d2", "n", F.coalesce("component", "node").alias("label"))
-    out = ready.select("id", "n", "d1", "d2").join(labelled, ["d1", "d2", "n"], "left")
-    component = F.coalesce("label", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    named = groups.join(classes.select("node", "first"), "node")
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    named = groups.join(least, "component").select("node", "least")
+    labelled = classes.join(named, "node", "left").select("d1", "d2", "n", F.coalesce("least", "first").alias("least"))
+    out = ready.select("id", "mark", "n", "d1", "d2").join(labelled, ["d1", "d2", "n"], "left")
+    kept = F.col("least").isNull() | (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("mark") == F.col("least.mark")))
+    return out.select("id", "mark", "n", F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("component"), kept.alias("kept"))
+
+
+def group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row."""
+    out = _group(df, id_col, text_col, settings)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
 def _unsettled(buckets: DataFrame, sig: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
@@ -249,8 +272,14 @@ def _rest_pairs(members: DataFrame, sets: DataFrame, scratch: Scratch, s: Settin
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The rows of each group's smallest id, all columns as they were; of rows that share this id one stays."""
+    """The first row of each group, all columns as they were; of rows that share its id and text one stays, but all with neither id nor words."""
     scratch = Scratch(df.sparkSession, "keepers")
-    kept = scratch.write(group(df, id_col, text_col, settings).where("kept").groupBy(id_col).agg(F.count("*").alias("copies")), "kept")
-    out = df.join(kept.select(id_col), id_col, "left_semi").select(*df.columns)
-    return out if kept.where("copies > 1").isEmpty() else out.dropDuplicates([id_col])
+    at, mark = _row_key(id_col, text_col)
+    rows = _group(df, id_col, text_col, settings).where("kept").withColumn("alone", F.expr("id IS NULL AND n = 0"))
+    kept = rows.groupBy(F.coalesce("id", F.lit(0).cast("long")).alias("_kept_at"), F.col("mark").alias("_kept_mark")).agg(F.max("alone").alias("_alone"), F.count("*").alias("copies"))
+    kept = scratch.write(kept, "kept")
+    keys = ["_kept_at", "_kept_mark"]
+    out = df.select("*", at.alias(keys[0]), mark.alias(keys[1])).join(kept.drop("copies"), keys)
+    if not kept.where("copies > 1 AND NOT _alone").isEmpty():
+        out = out.where("_alone").union(out.where("NOT _alone").dropDuplicates(keys))
+    return out.select(*df.columns)

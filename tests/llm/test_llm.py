@@ -332,6 +332,19 @@ def test_keep_one(spark):
     assert kept == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
 
 
+def test_null_ids_and_shared_ids_lose_no_text(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    near = text(0) + " more"
+    rows = [(None, text(1)), (None, text(1)), (None, text(2)), (None, text(0)), (5, text(0)), (7, text(3)), (7, text(4)), (8, near), (9, text(4)), (None, None), (None, ""), (6, text(2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(None, text(1)), (5, text(0)), (6, text(2)), (7, text(3)), (7, text(4)), (None, None), (None, "")]
+    assert sorted(map(repr, map(tuple, minhash.keep_one(df).collect()))) == sorted(map(repr, want))
+    got = minhash.group(df).collect()
+    assert len(got) == len(rows) and all(r.kept is not None for r in got)
+    component = collections.Counter((r.doc_id, r.component_id, r.kept) for r in got if r.n_shingles)
+    assert component == collections.Counter({(None, None, True): 2, (None, 6, False): 1, (6, 6, True): 1, (None, 5, False): 1, (5, 5, True): 1, (8, 5, False): 1, (7, 7, True): 2, (9, 7, False): 1})
+
+
 def test_components_of_long_paths(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), "t").collect()}
