@@ -1,11 +1,12 @@
 """Secret scans: three fixed patterns, and entropy windows over candidate strings.
 
 Method: candidate strings are runs of token characters; within each, the
-maximal stretches of a character class (hex, alphanumeric, base64) are read
-through a sliding window whose Shannon entropy follows from incremental
-counts.  A stretch with a window at or over its class's threshold is a
-finding, unless an allow-list pattern fits the candidate or a base finding
-already covers it.
+maximal stretches of a character class (hex, alphanumeric with a digit, letters
+of both cases, base64) are read through a sliding window whose Shannon entropy
+follows from incremental counts.  A stretch with a window at or over its
+class's threshold is a finding, unless an allow-list pattern fits the candidate
+or base findings cover the whole stretch.  Stretches of letters of one case are
+no findings: random ones and long words have the same window entropies.
 
 Defined cases: a null or empty text has no findings (and the digest of the
 empty string); repeated rows give repeated results; an empty table gives an
@@ -56,16 +57,17 @@ class CharClass:
     needs: tuple[str, ...]  # every window's stretch must hold one of each
 
 
+LOWERS, UPPERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 CLASSES = (
     CharClass("hex", r"[0-9a-fA-F]", 20, 2.9, ("0123456789", "abcdefABCDEF")),
-    CharClass("alnum", r"[0-9A-Za-z]", 20, 3.4, ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
-    CharClass("base64", r"[0-9A-Za-z+/_=-]", 24, 3.7, ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
+    CharClass("alnum", r"[0-9A-Za-z]", 20, 3.4, (DIGITS, LOWERS + UPPERS)),
+    CharClass("letters", r"[0-9A-Za-z]", 20, 3.9, (LOWERS, UPPERS)),
+    CharClass("base64", r"[0-9A-Za-z+/_=-]", 24, 3.7, (DIGITS, LOWERS, UPPERS)),
 )
 LEAST = min(c.window for c in CLASSES)
 _table = lambda chars: np.isin(np.arange(256), np.frombuffer(chars.encode(), np.uint8))
 IS_HEX = _table("0123456789abcdef")
 IS_TOKEN = _table("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-")
-IS_DIGIT = _table("0123456789")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 XLOGX = [0.0] + [float(k * np.log2(k)) for k in range(1, 129)]
 _allow = re.compile("|".join(f"(?:{p})" for p in ALLOWED))
@@ -106,6 +108,14 @@ def entropy_spans(candidate: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def covered(start: int, end: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether the spans together hold everything from start to end."""
+    for a, b in sorted(spans):
+        if a <= start < b:
+            start = b
+    return start >= end
+
+
 def scan(texts: pa.Array) -> list[list[tuple[int, str, int]]]:
     """Findings (start, kind, end) of each text, in order of start and kind."""
     flat = Flat(texts)
@@ -141,14 +151,10 @@ def scan(texts: pa.Array) -> list[list[tuple[int, str, int]]]:
     starts, ends = flat.runs(IS_TOKEN[flat.b])
     long = ends - starts >= LEAST
     starts, ends = starts[long], ends[long]
-    digits = np.zeros(len(flat.b) + 1, np.int64)
-    np.cumsum(IS_DIGIT[flat.b], out=digits[1:])
-    some = digits[ends] > digits[starts]
-    starts, ends = starts[some], ends[some]
     for (d, a, _), s, e in zip(put(starts, ends), starts.tolist(), ends.tolist(), strict=True):
         base = [(x, y) for x, kind, y in found[d] if kind != "entropy"]
         for p, q in entropy_spans(data[s:e].decode()):
-            if not any(x < a + q and a + p < y for x, y in base):
+            if not covered(a + p, a + q, base):
                 found[d].append((a + p, "entropy", a + q))
     for f in found:
         f.sort(key=lambda x: (x[0], KINDS.index(x[1])))
