@@ -132,8 +132,9 @@ def mrs_noise(spark, sf_dir):
 
 
 def scenes(spark, sf_dir) -> DataFrame:
-    """Rendered frames with known stars: a frame for each hundred image stars, a dozen stars each, as (frame, w, v)."""
-    s = v_imgstar(spark, sf_dir).where("id % 100 < 12").select(F.expr("id div 100").alias("frame"), (20 + F.col("id") % 100 % 4 * 40 + F.col("x") % 8).alias("sx"), (20 + F.expr("id % 100 div 4") * 50 + F.col("y") % 8).alias("sy"), (F.abs("flux") % 4000 + 2000).alias("amp"))
+    """Rendered frames with known stars: all image stars, a dozen a frame, as (frame, stars)."""
+    place = F.col("id") % 12
+    s = v_imgstar(spark, sf_dir).select(F.expr("id div 12").alias("frame"), (20 + place % 4 * 40 + F.col("x") % 8).alias("sx"), (20 + F.floor(place / 4) * 50 + F.col("y") % 8).alias("sy"), (F.abs("flux") % 4000 + 2000).alias("amp"))
     return s.groupBy("frame").agg(F.collect_list(F.struct("sx", "sy", "amp")).alias("stars"))
 
 

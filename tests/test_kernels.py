@@ -136,6 +136,16 @@ def test_wcs_headers_and_scale():
     assert dict(w.headers())["CD1_1"] == "2.777777777777778E-4"
 
 
+def test_scenes_have_every_star(spark):
+    from starloom.plans import kernels
+
+    sf = "/root/testdata/sf0.001"
+    frames = kernels.scenes(spark, sf).collect()
+    assert sum(len(f.stars) for f in frames) == spark.read.parquet(f"{sf}/customer.parquet").count()
+    for f in frames:
+        assert len({(s.sx // 40, s.sy // 50) for s in f.stars}) == len(f.stars) <= 12 and all(20 <= s.sx < 168 and 20 <= s.sy < 128 for s in f.stars)
+
+
 def test_samples_are_deterministic():
     t = solve.triples(20)
     assert len(t) == 100 and all(len(set(x)) == 3 for x in t) and t == solve.triples(20)
