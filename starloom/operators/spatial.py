@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,34 @@ def without_blends(points: DataFrame, radius: float) -> DataFrame:
     return points.join(close, "id", "left_anti")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """The frame worked out and written to the checkpoint folder, without its lineage."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="starloom-"))
+    return df.checkpoint()
+
+
+def without_chains(points: DataFrame, radius: float) -> DataFrame:
+    """Points that survive the pairing in order of flux: one not marked yet marks itself and all fainter ones in reach.
+
+    Who marks is decided in rounds: a point whose brighter neighbours are all
+    marked marks its fainter ones.  All points of the image are compared.
+    """
+    order = points.select("id", F.struct((-F.col("flux")).isNull().alias("none"), (-F.col("flux")).alias("flux"), F.col("id").alias("own")).alias("o"))
+    near = within(points, points, radius).where("a <> b").select("a", "b")
+    near = near.join(order.select(F.col("id").alias("a"), F.col("o").alias("ao")), "a").join(order.select(F.col("id").alias("b"), F.col("o").alias("bo")), "b")
+    pairs = live = _cut(near.where("ao < bo").select(F.col("a").alias("bright"), F.col("b").alias("faint")))
+    marked = pairs.select(F.col("faint").alias("id")).where("false")
+    while not live.isEmpty():
+        waiting = live.select(F.col("faint").alias("bright")).distinct()
+        new = _cut(live.join(waiting, "bright", "left_anti").select(F.col("faint").alias("id")).distinct())
+        marked = marked.union(new)
+        # Pairs with a marked point are settled; with them go those of the points that marked, whose fainter ones are all marked.
+        live = _cut(live.join(new.select(F.col("id").alias("faint")), "faint", "left_anti").join(new.select(F.col("id").alias("bright")), "bright", "left_anti"))
+    return points.join(pairs.select(F.col("bright").alias("id")).distinct(), "id", "left_anti").join(marked, "id", "left_anti")
+
+
 def covered(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     """Points that have one of the others strictly within the radius."""
     hit = within(points, others, radius, strict=True).select(F.col("a").alias("id")).distinct()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detection, psf
+from ..operators import detection, psf, spatial
 from ..shipping import map_arrow
 from ..sources import fits, images, xisf
 from .images import SIZE, _smooth_sql
@@ -261,8 +261,9 @@ def centroid_dedup(spark, sf_dir):
 
 @query()
 def blend_chain(spark, sf_dir):
-    """Order-dependent blend rejection (a chain's far end survives; tested in pytest)."""
-    return _greedy(spark, sf_dir, lambda x, y: np.flatnonzero(~detection.blended(x, y, 12.0)).tolist())
+    """Order-dependent blend rejection over the whole image (a chain's far end survives; tested in pytest)."""
+    s = v_imgstar(spark, sf_dir)
+    return spatial.without_chains(s, 12.0).select(F.floor(F.col("x") / 63).cast("int").alias("strip"), "id")
 
 
 @query()

@@ -47,6 +47,16 @@ def test_chain_keeps_its_far_end():
     assert detection.blended(np.array([0.0, 8.0, 16.0]), np.zeros(3), 10.0).tolist() == [True, True, False]
 
 
+def test_blend_chain_over_the_whole_image(spark):
+    from starloom.plans import kernels
+    from starloom.plans.views import v_imgstar
+
+    sf = "/root/testdata/sf0.01"
+    stars = sorted(v_imgstar(spark, sf).collect(), key=lambda s: (-s.flux, s.id))
+    out = detection.blended(np.array([s.x for s in stars]), np.array([s.y for s in stars]), 12.0)
+    assert sorted(r.id for r in kernels.blend_chain(spark, sf).collect()) == sorted(s.id for s, gone in zip(stars, out, strict=True) if not gone)
+
+
 def test_suppression_is_greedy():
     assert detection.suppress(np.array([0.0, 3.0, 6.0]), np.zeros(3), 4.0) == [0, 2]
 
