@@ -419,6 +419,32 @@ def test_neighbours(spark):
     assert got[4500] == [(1, 4600, math.sqrt(3))] and not got[4200] and not got[4000] and ann.neighbours(df.where("false")).count() == 0
 
 
+def test_neighbours_over_many_cells(spark, monkeypatch):
+    """Every row in one cell, whose region holds it; a hot vector; recall and the share of rows verified."""
+    monkeypatch.setattr(ann, "CELL", 256)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 32))
+    vectors = centres[rng.integers(0, 40, 6000)] + 0.2 * rng.standard_normal((6000, 32))
+    vectors[1::3] = vectors[1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(7)
+    rows = ann.combine(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 10)
+    cells = ann.fit_cells(rows, {32: 6000})[32]
+    points = (vectors @ ann.projection(32)).astype(np.float32)
+    at = cells.locate(points)
+    assert len(set(at.tolist())) > 8 and all(cells.bounds(p.astype(float))[c] == 0 for p, c in zip(points, at, strict=True))
+    got, verified = collections.defaultdict(list), {}
+    for r in ann.neighbours(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+        verified[r.query_id] = r.verified
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = np.sqrt(((vectors - vectors[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.lexsort([np.arange(6000), d])[:10].tolist()) & set(got[q]))
+    assert hits >= 0.9 * 600 and sum(verified.values()) < 0.1 * 60 * 6000
+    assert got[100] == [1, 4, 7, 10, 13, 16, 19, 22, 25, 28]
+
+
 def test_chi_square():
     assert abs(ann.chi_square_cdf(ann.chi_square_quantile(0.99, 8), 8) - 0.99) < 1e-9 and abs(ann.chi_square_quantile(0.99, 8) - 20.09) < 0.01
 
