@@ -2,9 +2,12 @@
 
 import collections
 import hashlib
+import html.parser
 import math
+import os.path
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -154,6 +157,107 @@ def test_html_template_lines_inside_the_article():
     assert "Read our terms first." in html_extract.main_text(one, copy) and "A long first story of its own." in html_extract.main_text(one, copy)
 
 
+def test_html_lines_in_the_midst_of_an_article_stay():
+    page = lambda *body: html_extract.lines("<article>" + "".join(f"<p>{x}</p>" for x in body) + "</article>")
+    own, near, far = page("A", "long first story", "Of.", "more of it", "The end."), page("B", "another long story", "Of.", "it goes on", "The end."), page("C", "a third", "its end")
+    assert html_extract.main_text(own, near) == "A\nlong first story\nOf.\nmore of it"
+    assert html_extract.main_text(own, near, far).endswith("The end.")
+
+
+class SlowDom(html.parser.HTMLParser):
+    """Blocks of a well-formed page by a tree walk: the article's text, a line a block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.path, self.out, self.text = [], [], ""
+
+    def block(self):
+        line = " ".join(self.text.split())
+        if line and "article" in self.path:
+            self.out.append(line)
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("br", "meta"):
+            self.text += " "
+        elif tag not in ("b", "a"):
+            self.block()
+            if tag == "p" and self.path[-1:] == ["p"]:
+                self.path.pop()
+            self.path.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.path:
+            self.block()
+            while self.path.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not {"script", "style", "title"} & set(self.path):
+            self.text += data
+
+
+def brute_pages(rows):
+    """Text of every (id, url, html): slow tree walk, neighbours by full sorting, lines by definition."""
+    def parse(page):
+        dom = SlowDom()
+        dom.feed(page)
+        dom.block()
+        return dom.out
+
+    split = lambda u: re.match(r"(?:.*?://)([^/?#]*)([^?#]*)", u).groups()
+    at = sorted((split(u)[0].lower(), split(u)[1], i, parse(h)) for i, u, h in rows)
+    out = {}
+    for k, (host, path, i, own) in enumerate(at):
+        sides = [(len(os.path.commonprefix([path, p])), j, lines) for j in (k - 1, k + 1) if 0 <= j < len(at) for h, p, _, lines in [at[j]] if h == host]
+        sides.sort(key=lambda x: (-x[0], x[1]))
+        gone = set(range(len(own)))
+        for n, (_, _, lines) in enumerate(sides):
+            table = [[0] * (len(lines) + 1) for _ in range(len(own) + 1)]
+            best = {}
+            for a, x in enumerate(own):  # weight of a longest common subsequence's lines, to tell copies
+                for b, y in enumerate(lines):
+                    table[a + 1][b + 1] = table[a][b] + 1 if x == y else max(table[a][b + 1], table[a + 1][b])
+            if n == 0:
+                a, b, weight = len(own), len(lines), 0
+                while a and b:
+                    if own[a - 1] == lines[b - 1]:
+                        a, b, weight = a - 1, b - 1, weight + len(own[a - 1])
+                    elif table[a - 1][b] >= table[a][b - 1]:
+                        a -= 1
+                    else:
+                        b -= 1
+                if 2 * weight >= sum(map(len, own)):
+                    gone = set()
+            same = [x == y for x, y in zip(own, lines)]
+            last = [x == y for x, y in zip(own[::-1], lines[::-1])]
+            first = 1 if same and not same[0] else 0
+            ends = {a for a in range(first, len(same)) if all(same[first : a + 1])} | {len(own) - 1 - a for a in range(len(last)) if all(last[: a + 1])}
+            gone &= ends
+        if not sides:
+            gone = set()
+        out[i] = "\n".join(x for a, x in enumerate(own) if a not in gone)
+    return out
+
+
+@pytest.mark.parametrize("per_range", [1024, 17])
+def test_html_against_a_slow_dom(spark, monkeypatch, per_range):
+    monkeypatch.setattr(html_extract, "PAGES_PER_RANGE", per_range)
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    rows += [(10**6 + i, f"http://one.host/a/{i}", f"<article><h1>Title {i}</h1><p>Read this first.</p><p>{'story ' * i}of {i}</p><p>Bye.</p></article>") for i in range(40)]
+    want = brute_pages(rows)
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and got[10**6 + 5] == "Title 5\nstory story story story story of 5"
+
+
+def test_html_reading_takes_time_in_proportion():
+    began = time.perf_counter()
+    for piece in ("<a ", '<a "', "</script ", "<!", "<x y"):
+        html_extract.lines(piece * (5_000_000 // len(piece)))
+    html_extract.lines("<div>" * 100_000 + "<td><p>" * 50_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_lcs_against_dynamic_programming():
     rng = random.Random(1)
     for _ in range(500):
