@@ -11,11 +11,14 @@ no findings: random ones and long words have the same window entropies.
 Defined cases: a null or empty text has no findings (and the digest of the
 empty string); repeated rows give repeated results; an empty table gives an
 empty result; ties at one start are ordered by kind as listed; other columns
-are ignored, whatever their names.  Offsets are code points, end exclusive.
+are ignored, whatever their names; null and repeated identifiers are carried
+along.  Offsets are code points, end exclusive.  Long texts are scanned whole,
+in time in proportion to their length and findings.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -42,7 +45,6 @@ ALLOWED = [
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"\d{4}-\d\d-\d\d(T[0-9-]*)?",
     r"[0-9+/_=-]+",
-    r"https?/+.*",
     r"([A-Za-z]+[-_/])*[A-Za-z]+[-_/]?\d{1,4}",
     r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}",
 ]
@@ -97,23 +99,40 @@ def entropy_spans(candidate: str) -> list[tuple[int, int]]:
     """Stretches of a candidate that look random; none if the allow-list fits it."""
     if _allow.fullmatch(candidate):
         return []
-    out: list[tuple[int, int]] = []
+    found: set[tuple[int, int]] = set()
     for c in CLASSES:
         for m in _stretch[c.name].finditer(candidate):
             s = m.group()
-            if any(a <= m.start() and m.end() <= b for a, b in out) or not all(set(s) & set(need) for need in c.needs):
-                continue
-            if peak_entropy(s, c.window) >= c.threshold:
-                out = [x for x in out if not (m.start() <= x[0] and x[1] <= m.end())] + [m.span()]
-    return sorted(out)
+            if m.span() not in found and all(set(s) & set(need) for need in c.needs) and peak_entropy(s, c.window) >= c.threshold:
+                found.add(m.span())
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):  # only those that no other one holds
+        if not out or b > out[-1][1]:
+            out.append((a, b))
+    return out
+
+
+class Cover:
+    """The union of some spans, asked whether it holds a stretch."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect.bisect_right(self.starts, start) - 1
+        return k >= 0 and end <= self.ends[k]
 
 
 def covered(start: int, end: int, spans: list[tuple[int, int]]) -> bool:
     """Whether the spans together hold everything from start to end."""
-    for a, b in sorted(spans):
-        if a <= start < b:
-            start = b
-    return start >= end
+    return Cover(spans).holds(start, end)
 
 
 def scan(texts: pa.Array) -> list[list[tuple[int, str, int]]]:
@@ -151,11 +170,11 @@ def scan(texts: pa.Array) -> list[list[tuple[int, str, int]]]:
     starts, ends = flat.runs(IS_TOKEN[flat.b])
     long = ends - starts >= LEAST
     starts, ends = starts[long], ends[long]
-    for (d, a, _), s, e in zip(put(starts, ends), starts.tolist(), ends.tolist(), strict=True):
-        base = [(x, y) for x, kind, y in found[d] if kind != "entropy"]
-        for p, q in entropy_spans(data[s:e].decode()):
-            if not covered(a + p, a + q, base):
-                found[d].append((a + p, "entropy", a + q))
+    base, own = Cover([]), -1
+    for (d, a, _), s, e in zip(put(starts, ends), starts.tolist(), ends.tolist(), strict=True):  # in order of the texts
+        if d != own:
+            base, own = Cover([(x, y) for x, _, y in found[d]]), d
+        found[d] += [(a + p, "entropy", a + q) for p, q in entropy_spans(data[s:e].decode()) if not base.holds(a + p, a + q)]
     for f in found:
         f.sort(key=lambda x: (x[0], KINDS.index(x[1])))
     return found

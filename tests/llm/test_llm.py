@@ -357,6 +357,45 @@ def test_entropy_decides_for_single_case_keys():
     assert secret_scan.covered(2, 9, [(5, 9), (1, 5)]) and not secret_scan.covered(2, 9, [(1, 5), (6, 9)]) and not secret_scan.covered(2, 9, [])
 
 
+def brute_entropy(text):
+    """Entropy findings by definition: every window counted anew, every stretch compared with every other."""
+    base = {j for a, _, b in brute_secrets(text) for j in range(a, b)}
+    out = []
+    for run in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text, re.ASCII):
+        if any(re.fullmatch(p, run.group()) for p in secret_scan.ALLOWED):
+            continue
+        found = set()
+        for c in secret_scan.CLASSES:
+            for m in re.finditer(f"{c.pattern}{{{c.window},}}", run.group()):
+                t = m.group()
+                if all(set(t) & set(n) for n in c.needs) and any(-sum(x / c.window * math.log2(x / c.window) for x in collections.Counter(t[i : i + c.window]).values()) >= c.threshold - 1e-12 for i in range(len(t) - c.window + 1)):
+                    found.add((run.start() + m.start(), run.start() + m.end()))
+        out += [(a, b) for a, b in found if not any((x, y) != (a, b) and x <= a and b <= y for x, y in found) and not set(range(a, b)) <= base]
+    return sorted(out)
+
+
+def test_entropy_spans_against_brute_force(spark):
+    rng = random.Random(5)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_="
+    parts = [lambda: pick(chars, 30), lambda: pick(chars[:36], 25), lambda: pick("0123456789abcdef", 40), lambda: "password = " + pick(chars, 24), lambda: "AKIA" + pick("ABCDEFG0123", 20), lambda: " ", lambda: "plain words here ", lambda: "_", lambda: "é"]
+    rows = [(i, "".join(rng.choice(parts)() for _ in range(rng.randint(0, 12)))) for i in range(800)] + [(r.doc_id + 1000, r.text) for r in documents(spark).collect()]
+    got = {r.doc_id: r.spans for r in secret_scan.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        spans = [x.split(":") for x in got[i].split(",")] if got[i] else []
+        assert [(int(a), int(b)) for kind, a, b in spans if kind == "entropy"] == brute_entropy(text or ""), text
+
+
+def test_scanning_takes_time_in_proportion():
+    import pyarrow as pa
+
+    began = time.perf_counter()
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(24))
+    secret_scan.scan(pa.array([" ".join(word() for _ in range(40_000)), "_".join(word() for _ in range(40_000)), "token=" * 100_000], pa.large_string()))
+    assert time.perf_counter() - began < 30
+
+
 def test_redaction(spark):
     df = odd(spark).withColumn("n_chars", F.length("text").cast("long"))
     got = {r.doc_id: r for r in secret_scan.clean(df, length_col="n_chars").collect()}
