@@ -105,12 +105,13 @@ def test_bpe_matches_the_library(spark):
 
 def test_warc(spark, tmp_path):
     big = "<p>" + "é" * 200_000 + "</p>"
-    rows = [(1, "http://a/x", "p" * 100), (2, None, "p" * 100), (3, "http://a b/", "p" * 99), (4, "u", "p" * 99), (5, "u", None), (6, "u", ""), (7, "u", big), (7, "u", big), (9, "u", big)]
+    rows = [(1, "http://a/x", "p" * 100), (2, None, "p" * 100), (3, "http://a b/", "p" * 99), (4, "u", "p" * 99), (5, "u", None), (6, "u", ""), (7, "u", big), (7, "u", big), (9, "u", big), (None, "u", big), (None, "u", "own" * 50), (None, "u", "own" * 50)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("first", F.lit(1))
     got = warc.archive(spark, df).collect()
     assert len(got) == len(rows)
     payload = {r[0]: (r[2] or "").encode() for r in rows}
-    for r in got:
+    assert sorted((r.record_type, str(r.refers_to)) for r in got if r.page_id is None) == [("response", "None")] * 2 + [("revisit", "7")]
+    for r in (r for r in got if r.page_id is not None):
         p = payload[r.page_id]
         assert (r.payload_bytes, r.payload_digest) == (len(p), hashlib.sha256(p).hexdigest())
         assert r.record_type == ("revisit" if r.page_id in (2, 9) else "response")
@@ -529,6 +530,40 @@ def test_mixing_windows(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+def brute_schedule(part):
+    """(source, slot) by earliest deadline, slot by slot over all sources, in whole numbers."""
+    size, done, out = sum(part.values()), dict.fromkeys(part, 0), []
+    for t in range(size):
+        due = [(-(-(done[s] + 1) * size // part[s]), s) for s in sorted(part) if done[s] * size // part[s] <= t]
+        s = min(due)[1]
+        out.append((s, done[s], t))
+        done[s] += 1
+    return sorted(out)
+
+
+def test_mixing_schedule_against_slot_by_slot(spark):
+    rng = random.Random(4)
+    for _ in range(6):
+        part = {f"s{i:02d}": rng.choice([1, 1, 2, 3, 5, 8, rng.randint(1, 40)]) for i in range(rng.randint(1, 25))}
+        got = mixing.period_schedule(spark.createDataFrame([(k, 1, v) for k, v in part.items()], "key string, n long, part long")).collect()
+        assert sorted((r.key, r.k, r.offset) for r in got) == brute_schedule(part)
+
+
+def test_mixing_of_many_sources(spark):
+    began = time.perf_counter()
+    many = spark.range(20_000).select(F.concat(F.lit("s"), F.col("id")).alias("key"), F.lit(1).alias("n"), (1 + F.when(F.col("id") % 50 == 0, F.col("id") % 37).otherwise(0)).cast("long").alias("part"))
+    got = mixing.period_schedule(many)
+    assert got.count() == many.agg(F.sum("part")).first()[0] and time.perf_counter() - began < 60
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["k", "offset", "_key", "_hash", "_head", "_rank", "_own", "_part", "_size", "_horizon", "_row", "position", "slot", "Block", "in_mix"]
+    df = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), *[(F.col("id") + i).alias(n) for i, n in enumerate(names)])
+    got = mixing.mix(df).collect()
+    assert len(got) == 100 and all(r[n] == r.doc_id + i for r in got for i, n in enumerate(names[:11]))
+    assert sorted(map(tuple, mixing.in_order(df).collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_mixing_deviation(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"))
     got = mixing.mix(df, weights={"a": 0.4, "s0": 0.3, "s1": 0.1, "s2": 0.1, "s3": 0.05, "s4": 0.05}, period=50, block=1, min_live=1.0).where("in_mix").collect()
