@@ -17,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` where the cluster names one; a folder of
-    our own is set only where it is unset (tests on one machine).
+    It is ``spark.checkpoint.dir`` where the cluster names one.  Where it is
+    unset, a folder of our own is set in local mode only, in which all tasks
+    share this machine's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="starloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

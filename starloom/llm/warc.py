@@ -15,8 +15,10 @@ twice leaves whole files only.  The index lists the files that count.
 
 Defined cases: null HTML is an empty payload, a null URL an empty target;
 repeated rows (one identifier, one payload) share the smallest identifier and
-are all responses; an empty table writes no bundle; other columns are ignored,
-whatever their names.
+are all responses; a row with a null identifier is recorded without one, and
+revisits an equal payload that has one, else it is a response; an empty table
+writes no bundle; other columns are ignored, whatever their names.  Payloads
+are written whole: one longer than a frame makes a frame of its own.
 """
 
 from __future__ import annotations
@@ -41,21 +43,22 @@ BUNDLE_BYTES = 16 << 20
 LEAST = 100
 # The date is a parameter, since a record made again must be the same.
 DATE = "2024-01-01T00:00:00Z"
+NONE = "-"  # stands for a null identifier
 INDEX = "page_id long, payload_digest string, bundle string, frame int, offset long, length long"
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, kind: str, refers_to: int | None, date: str = DATE) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, digest: str, kind: str, refers_to: int | None, date: str = DATE) -> bytes:
     """One WARC/1.1 record; a revisit holds no payload but names its full length and digest."""
     name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(i))}>"
     body = payload if kind == "response" else b""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {name(page_id)}",
+        f"WARC-Record-ID: {name(NONE + digest if page_id is None else page_id)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {''.join(url.split())}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Page-ID: {page_id}",
+        f"X-Page-ID: {NONE if page_id is None else page_id}",
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: text/html; charset=utf-8",
         f"Content-Length: {len(body)}",
@@ -155,7 +158,7 @@ def decide(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", le
     """(digest, first): the smallest identifier of each payload that several records of at least ``least`` bytes have."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     slim = pages.select(F.col(id_col).cast("long").alias("id"), F.sha2(payload, 256).alias("digest"), F.length(payload).alias("n")).where(F.col("n") >= least)
-    return slim.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
+    return slim.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> DataFrame:
@@ -212,7 +215,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                         name, reader = bundle, BundleReader(disk.open_input_file(f"{root}/{bundle}"))
                     headers, body = parse(reader.read(frame, offset, length))
                     kind, refers = headers["WARC-Type"], headers.get("X-Refers-To-Page")
-                    if int(headers["X-Page-ID"]) != page_id or headers["WARC-Payload-Digest"] != f"sha256:{digest}" or (kind == "response" and hashlib.sha256(body).hexdigest() != digest):
+                    if headers["X-Page-ID"] != (NONE if page_id is None else str(page_id)) or headers["WARC-Payload-Digest"] != f"sha256:{digest}" or (kind == "response" and hashlib.sha256(body).hexdigest() != digest):
                         raise ValueError(f"record {page_id} of {bundle} is broken")
                     out.append((page_id, headers["WARC-Target-URI"], int(headers["X-Payload-Length"]), digest, kind, int(refers) if refers else None, body if kind == "response" else None))
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
