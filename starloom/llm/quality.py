@@ -1,15 +1,16 @@
 """Quality rules as a short-circuit cascade.
 
 Method: every rule's cost (seconds a row) and selectivity (share of rows it
-rejects) are estimated on a sample; the rules then run in the order of
-rejection per cost, each only on the rows that all earlier ones let pass.
-The order decides the work, never the verdict: a row is kept when no rule
-rejects it.
+rejects, of those that pass the base and the rules before it) are estimated on
+a sample of about 1,024 rows; the rules then run in the order of rejection per
+cost on the rows that all earlier ones let pass.  The order decides the work,
+never the verdict: a row is kept when no rule rejects it.
 
 Defined cases: a null or empty text has no words, all counts 0, fails the
 base and is not kept; rows repeated in the input are judged each on its own;
-an empty table gives an empty result; columns besides the two used are
-ignored, whatever their names.
+null and repeated ids are carried along; rules of equal gain run in the order
+given; an empty table gives an empty result; long texts are judged whole;
+columns besides the two used are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,10 +47,6 @@ def _count_words(f: Flat) -> np.ndarray:
     return np.diff(f.word_spans()[2])
 
 
-def _byte_share(f: Flat, flags: np.ndarray) -> np.ndarray:
-    return f.per_document(flags)
-
-
 def symbols_per_word(limit: float) -> Rule:
     return Rule("symbols_per_word", lambda f: f.per_document(IS_SYMBOL[f.b]) > limit * _count_words(f))
 
@@ -141,53 +138,85 @@ def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
     return (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
 
 
-def cascade(texts: pa.Array, passed: np.ndarray, rules: tuple[Rule, ...]) -> tuple[np.ndarray, list[int]]:
-    """Rows of ``passed`` that no rule rejects, and how many rows each rule was asked about."""
-    alive, asked = np.flatnonzero(passed), []
+def cascade(texts: pa.Array, passed: np.ndarray, rules: tuple[Rule, ...], flat: Flat | None = None) -> tuple[np.ndarray, list[int]]:
+    """Rows of ``passed`` that no rule rejects, and how many rows each rule was asked about.
+
+    The texts are laid out anew for the rows that are left once they are fewer
+    than half of those laid out.
+    """
+    rows = np.arange(len(texts))
+    flat, alive, asked = flat or Flat(texts), np.array(passed, bool), []
     for rule in rules:
-        asked.append(len(alive))
-        if len(alive):
-            alive = alive[~rule.reject(Flat(texts.take(pa.array(alive))))]
+        if 2 * alive.sum() < len(rows):
+            rows = rows[alive]
+            flat, alive = Flat(texts.take(pa.array(rows))), np.ones(len(rows), bool)
+        asked.append(len(rows))
+        if len(rows):
+            alive &= ~rule.reject(flat)
     kept = np.zeros(len(texts), bool)
-    kept[alive] = True
+    kept[rows[alive]] = True
     return kept, asked
 
 
-def estimate(df: DataFrame, text_col: str, rules: tuple[Rule, ...] = RULES, fraction: float = 0.02, rows: int = 1024) -> list[dict]:
-    """Cost and selectivity of each rule on at most ``rows`` sampled rows, best rejection per cost first."""
+def by_gain(cost: list[float], masks: dict[int, int]) -> list[tuple[int, float]]:
+    """(rule, selectivity) in the order of rejection per cost, each rule rated on the rows that the earlier ones let pass.
+
+    ``masks`` counts rows by the rules that reject them, a bit a rule.
+    """
+    left, out = dict(masks), []
+    while len(out) < len(cost):
+        total = max(sum(left.values()), 1)
+        share = {k: sum(n for m, n in left.items() if m >> k & 1) / total for k in range(len(cost)) if k not in {x for x, _ in out}}
+        best = max(share, key=lambda k: (share[k] / max(cost[k], 1e-12), -cost[k], -k))
+        out.append((best, share[best]))
+        left = {m: n for m, n in left.items() if not m >> best & 1}
+    return out
+
+
+def estimate(df: DataFrame, text_col: str, rules: tuple[Rule, ...] = RULES, rows: int = 1024) -> list[dict]:
+    """Cost and selectivity of each rule on a random sample of about ``rows`` rows, best rejection per cost first.
+
+    Costs are those of a layout of texts of its own; selectivity counts rows
+    that pass the base and the rules before.
+    """
+    total = df.count()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in text_slices(batch, 0):
-                flat = Flat(texts)
-                took, hits = [], []
-                for rule in rules:
+                own = texts.filter(pa.array(~base_failed(base_counts(Flat(texts)))))
+                mask = np.zeros(len(own), np.int64)
+                for k, rule in enumerate(rules):
                     began = time.perf_counter()
-                    hits.append(int(rule.reject(flat).sum()))
-                    took.append(time.perf_counter() - began)
-                yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(rules)), pa.int32()), "rows": pa.array([flat.n] * len(rules), pa.int64()), "hits": pa.array(hits, pa.int64()), "took": took})
-
-    got = map_arrow(df.select(F.col(text_col).alias("t")).sample(fraction, seed=7).limit(rows), measure, "k int, rows long, hits long, took double").groupBy("k").agg(F.sum("rows"), F.sum("hits"), F.sum("took")).collect()
-    seen = {r[0]: r[1:] for r in got}
-    out = []
-    for k, rule in enumerate(rules):
-        n, hits, took = seen.get(k, (0, 0, 0.0))
-        cost, share = (took / n, hits / n) if n else (1.0, 0.0)
-        out.append({"rule": rule.name, "cost": cost, "selectivity": share, "gain": share / max(cost, 1e-12)})
-    return sorted(out, key=lambda x: (-x["gain"], x["cost"], x["rule"]))
+                    hit = rule.reject(Flat(own.take(pa.array(np.arange(len(own))))))
+                    took = time.perf_counter() - began
+                    mask |= hit.astype(np.int64) << k
+                    yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "mask": pa.array([-1], pa.int64()), "rows": pa.array([len(own)], pa.int64()), "took": [took]})
+                kinds, n = np.unique(mask, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"k": pa.array([-1] * len(n), pa.int32()), "mask": pa.array(kinds, pa.int64()), "rows": pa.array(n, pa.int64()), "took": pa.array([0.0] * len(n), pa.float64())})
+
+    sample = df.select(F.col(text_col).alias("t")).sample(min(1.0, rows / max(total, 1)), seed=7)
+    got = map_arrow(sample, measure, "k int, mask long, rows long, took double").groupBy("k", "mask").agg(F.sum("rows").alias("rows"), F.sum("took").alias("took")).collect()  # a row a rule and a set of rules
+    cost = [1.0] * len(rules)
+    for r in got:
+        if r.k >= 0 and r.rows:
+            cost[r.k] = r.took / r.rows
+    order = by_gain(cost, {r["mask"]: r.rows for r in got if r.k < 0})
+    return [{"rule": rules[k].name, "cost": cost[k], "selectivity": share, "gain": share / max(cost[k], 1e-12)} for k, share in order]
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per input row: id, base counts, base_failed, kept and the number of method rules asked."""
+    """One row per input row: id, base counts, base_failed and kept."""
     by_name = {r.name: r for r in rules}
     ordered = tuple(by_name[x["rule"]] for x in estimate(df, text_col, rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in text_slices(batch, 1):
-                counts = base_counts(Flat(texts))
+                flat = Flat(texts)
+                counts = base_counts(flat)
                 failed = base_failed(counts)
-                kept, _ = cascade(texts, ~failed, ordered)
+                kept, _ = cascade(texts, ~failed, ordered, flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(v, pa.int64()) for v in counts.values()), pa.array(failed), pa.array(kept)], names=[id_col, *counts, "base_failed", "kept"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -203,7 +232,8 @@ def keep(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in text_slices(batch, column):
-                kept, _ = cascade(texts, ~base_failed(base_counts(Flat(texts))), ordered)
+                flat = Flat(texts)
+                kept, _ = cascade(texts, ~base_failed(base_counts(flat)), ordered, flat)
                 yield batch.slice(at, len(texts)).filter(pa.array(kept))
 
     return map_arrow(df, run, df.schema)

@@ -55,7 +55,7 @@ class Flat:
         self.b = data[off[0] : off[-1]]
         self.off = off - off[0]
         self.fold = fold
-        self._prefix = None
+        self._prefix = self._words = None
 
     def runs(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ends) of the maximal runs of marked bytes; a document border ends a run."""
@@ -70,8 +70,10 @@ class Flat:
 
     def word_spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, first): byte spans of all words, and per document the index of its first word (n + 1)."""
-        starts, ends = self.runs(~IS_SPACE[self.b])
-        return starts, ends, np.searchsorted(starts, self.off)
+        if self._words is None:
+            starts, ends = self.runs(~IS_SPACE[self.b])
+            self._words = starts, ends, np.searchsorted(starts, self.off)
+        return self._words
 
     def line_spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, document) of the \\n-split lines."""
