@@ -343,8 +343,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     sorted_rows = placed.repartition("part").sortWithinPartitions("part", "host", "path", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_type = None
+
         def pages_in_order():
+            nonlocal id_type
             for batch in batches:
+                id_type = batch.schema.field(0).type
                 for start in range(0, batch.num_rows, 64):
                     for i, u, h, *rest in zip(*(c.to_pylist() for c in batch.slice(start, 64).columns), strict=True):
                         yield i, u, *rest, lines(h)
@@ -357,7 +361,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         ids, urls, texts = [], [], []
 
         def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, "url", "text", "n_chars"])
+            got = pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, "url", "text", "n_chars"])
             for x in (ids, urls, texts):
                 x.clear()
             return got

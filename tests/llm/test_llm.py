@@ -75,6 +75,13 @@ def test_quality_order_never_changes_the_verdict(spark):
     assert [x["gain"] for x in order] == sorted((x["gain"] for x in order), reverse=True)
 
 
+def test_quality_order_by_gain_on_the_rows_left():
+    # Rule 0 rejects 50 rows, rule 1 rejects 40 of the same and 5 others, rule 2 rejects 10 others; costs are alike.
+    masks = {0: 35, 0b001: 10, 0b011: 40, 0b010: 5, 0b100: 10}
+    assert [k for k, _ in quality.by_gain([1.0, 1.0, 1.0], masks)] == [0, 2, 1]
+    assert [k for k, _ in quality.by_gain([100.0, 1.0, 1.0], masks)] == [1, 2, 0] and quality.by_gain([1.0, 2.0], {}) == [(0, 0.0), (1, 0.0)]
+
+
 def test_quality_agrees_with_labels(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(labels, "doc_id")
@@ -279,6 +286,7 @@ def test_html_table(spark):
     text = {r.page_id: r.text for r in got}
     assert text[1] == text[2] == "Head & more\nOne two.\nThree four." and text[3] == text[4] == "" and text[5] == ("w " * 100_000).strip()
     assert html_extract.extract(df.where("false")).count() == 0
+    assert [r.text for r in html_extract.extract(df.where("page_id = 1").withColumn("page_id", F.lit(None).cast("long"))).collect()] == [text[1]]
 
 
 def test_toxicity_grammar():
