@@ -3,11 +3,13 @@
 Method: words are classed (insult, threat, target, negation, reporting verb,
 intensifier, other).  Five transducers over word classes rewrite a clause from
 left to right: reported speech and negation mark what stands in their scope,
-insults and threats near a target become attacks.  They are composed into one
-machine; each arc adds its weight to the clause's score.  A document is scored
-by its clauses through a logistic model of a few counts and the best clause,
-fitted on a bounded sample of labelled rows.  Words without such a clause
-around them count for nothing.
+insults and threats near a target become attacks and menaces.  They are
+composed into one machine; each arc adds its weight to the clause's score.
+A clause is matched as menace, attack, name-calling (an insult that is neither
+marked nor aimed at a target) or marked.  A document is scored by its matched
+clauses: a logistic model of how many there are of each kind, of their summed
+and best score and of their share of all clauses, fitted on a bounded sample of labelled rows.  A word
+that stands alone is no clause and counts for nothing.
 
 The insult class is a fixed list.  The training rows add stems, since insults
 are inflected: word beginnings that at least ``LEARN_SHARE`` of the toxic rows
@@ -15,17 +17,20 @@ have, ``LEARN_RATIO`` times the share of the others.  Of nested beginnings the
 one that tells the two best apart is taken.
 
 Only rows whose crc32(id as text) mod 3 is not 1 teach, at most ``SAMPLE`` of
-them.  Labels, lang, source and id are no inputs of a score.
+them, chosen by a hash of the id.  Labels, lang, source and id are no inputs of a score.
 
 Defined cases: a null or empty text has no clause and gets the score of such
 texts; labels that are null, or of one class only, teach nothing and leave the
 fixed weights; rows that share an id are each scored on their own text, and of
-an id's labels the largest counts; an empty table gives an empty result; other
-columns are ignored, whatever their names.
+an id's labels the largest counts; a null id is not held out and teaches
+nothing; stems that tell alike go by length, then name; an empty table gives an
+empty result; long texts are scored whole; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -148,9 +153,10 @@ def grammar() -> Transducer:
     return _scope(REPORT, 6, -0.2) @ _scope(NEGATION, 3, -0.4) @ _insult() @ _target() @ _threat()
 
 
-# Counts of written symbols that are a document's features, with its best clause score.
-COUNTED = [INSULT, MARKED_INSULT, ATTACK, MENACE, STEM, MARKED_STEM]
-DEFAULT = np.array([-3.0, 3.0, 0.2, 4.0, 3.0, 1.0, 0.0, 1.0])  # where there is nothing to learn from
+# What a matched clause is, by the symbols written for it; the first that fits counts.
+KINDS = [("menace", {MENACE}), ("attack", {ATTACK}), ("name-calling", {INSULT, STEM}), ("marked", {MARKED_INSULT, MARKED_THREAT, MARKED_STEM})]
+FEATURES = 1 + len(KINDS) + 3
+DEFAULT = np.array([-3.0, 6.0, 5.0, 3.0, 0.0, 1.0, 1.0, 1.0])  # where there is nothing to learn from
 _word = re.compile(r"[^\W\d_]+")
 _letters = np.zeros(256, bool)
 _letters[65:91] = _letters[97:123] = _letters[128:] = True
@@ -188,32 +194,40 @@ class Lexicon:
         return out
 
 
+def match(kinds: list[int], machine: Transducer) -> tuple[int | None, float]:
+    """(kind of match, score) of one clause of word classes; a word that stands alone is no clause."""
+    if len(kinds) < 2:
+        return None, 0.0
+    written, score = machine.run(kinds)
+    symbols = set(written)
+    return next((k for k, (_, own) in enumerate(KINDS) if symbols & own), None), score
+
+
 def features(texts: pa.Array, lexicon: Lexicon, machine: Transducer) -> np.ndarray:
-    """(documents, 8): 1, capped counts of what the grammar writes, best clause score."""
+    """(documents, FEATURES): 1, log counts of matched clauses by kind, log of their summed and of their best score, root of their share of all clauses."""
     flat = Flat(texts, fold=True)
-    out = np.zeros((flat.n, len(COUNTED) + 2))
-    out[:, 0] = 1.0
+    counts = np.zeros((flat.n, len(KINDS)))
+    total, best, clauses = np.zeros(flat.n), np.zeros(flat.n), np.ones(flat.n)
     starts, ends = flat.runs(_letters[flat.b])
-    if not len(starts):
-        return out
-    kinds = lexicon.classify(flat, starts, ends)
-    stop = np.zeros(len(flat.b) + 1, np.int64)
-    np.cumsum(_ends[flat.b], out=stop[1:])
-    doc = np.searchsorted(flat.off, starts, "right") - 1
-    clause = stop[starts] + doc  # grows at every clause and document border
-    edges = np.flatnonzero(np.concatenate([[True], clause[1:] != clause[:-1]]))
-    bounds = np.concatenate([edges, [len(starts)]])
-    hot = np.unique(np.searchsorted(edges, np.flatnonzero((kinds == INSULT) | (kinds == THREAT) | (kinds == STEM)), "right") - 1)
-    for c in hot.tolist():
-        a, b = bounds[c], bounds[c + 1]
-        written, score = machine.run(kinds[a:b].tolist())
-        row = out[doc[a]]
-        for k, symbol in enumerate(COUNTED, 1):
-            row[k] += written.count(symbol)
-        row[-1] = max(row[-1], score)
-    out[:, 1:-1] = np.minimum(out[:, 1:-1], 4)
-    out[:, -1] = np.minimum(out[:, -1], 4)
-    return out
+    if len(starts):
+        kinds = lexicon.classify(flat, starts, ends)
+        stop = np.zeros(len(flat.b) + 1, np.int64)
+        np.cumsum(_ends[flat.b], out=stop[1:])
+        doc = np.searchsorted(flat.off, starts, "right") - 1
+        clause = stop[starts] + doc  # grows at every clause and document border
+        edges = np.flatnonzero(np.concatenate([[True], clause[1:] != clause[:-1]]))
+        bounds = np.concatenate([edges, [len(starts)]])
+        clauses = np.maximum(np.bincount(doc[edges], minlength=flat.n), 1)
+        hot = np.unique(np.searchsorted(edges, np.flatnonzero((kinds == INSULT) | (kinds == THREAT) | (kinds == STEM)), "right") - 1)
+        for c in hot.tolist():  # no transducer fires in a clause without an insult, a stem or a threat
+            a, b = bounds[c], bounds[c + 1]
+            kind, score = match(kinds[a:b].tolist(), machine)
+            if kind is not None:
+                d = doc[a]
+                counts[d, kind] += 1
+                total[d] += max(score, 0.0)
+                best[d] = max(best[d], score)
+    return np.column_stack([np.ones(flat.n), np.log1p(counts), np.log1p(total), np.log1p(best), np.sqrt(counts.sum(1) / clauses)])
 
 
 def held_out(id_col: str) -> Column:
@@ -252,7 +266,9 @@ def choose_stems(bad: dict[str, int], good: dict[str, int], n_bad: int, n_good:
 def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(learned stems, weights) from at most ``sample`` labelled rows, chosen by a hash of the id."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    chosen = usable.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(sample)
+    labelled = usable.count()
+    share = min(1.0, (sample - 4 * sample**0.5) / max(labelled, 1))  # four deviations below, so the sample stays under its bound
+    chosen = usable.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
     scratch = Scratch(df.sparkSession, "toxicity")
     taught = scratch.write(df.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", F.col("toxic").cast("int").alias("toxic")), "taught")
     sizes = taught.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()

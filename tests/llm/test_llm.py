@@ -298,6 +298,88 @@ def test_toxicity_grammar():
     assert score(t.THREAT, t.TARGET) > score(t.THREAT) == 0 and score(t.TARGET) == 0
 
 
+def brute_clause(kinds):
+    """(written, score) of a clause by the grammar's rules, one pass a rule over positions."""
+    t, out, score = toxicity, list(kinds), 0.0
+    for opener, reach, cost in ((t.REPORT, 6, -0.2), (t.NEGATION, 3, -0.4)):
+        for i in range(len(out)):
+            near = [j for j in range(i) if out[j] == opener]
+            if out[i] in t.MARKED and near and i - near[-1] <= reach:
+                out[i] = t.MARKED[out[i]]
+                score += cost
+    primed = 0
+    for x in out:  # an intensifier primes the next two words, insults use none of it up
+        if x in (t.INSULT, t.STEM):
+            score += (1.0 if x == t.INSULT else 0.6) + (0.5 if primed else 0.0)
+        elif x in (t.MARKED_INSULT, t.MARKED_STEM):
+            score += 0.3
+        else:
+            primed = 2 if x == t.INTENSIFIER else max(primed - 1, 0)
+    left = 0
+    for i, x in enumerate(out):
+        if x == t.TARGET:
+            left = 4
+        elif left and x in (t.INSULT, t.STEM):
+            out[i] = t.ATTACK if x == t.INSULT else x
+            score += 1.0
+        else:
+            left = max(left - 1, 0)
+    left = 0
+    for i, x in enumerate(out):
+        if x == t.THREAT:
+            left = 3
+        elif left and x == t.TARGET:
+            out[i], left = t.MENACE, 0
+            score += 1.5
+        else:
+            left = max(left - 1, 0)
+    return out, score
+
+
+def test_toxicity_machine_against_rules():
+    rng, machine = random.Random(7), toxicity.grammar()
+    for _ in range(5000):
+        kinds = [rng.choice([0, 0, 1, 2, 3, 4, 5, 6, 7]) for _ in range(rng.randint(0, 14))]
+        written, score = machine.run(kinds)
+        want, total = brute_clause(kinds)
+        assert written == want and abs(score - total) < 1e-9, kinds
+
+
+def test_toxicity_scores_clauses_not_words(spark):
+    import pyarrow as pa
+
+    lexicon, machine = toxicity.Lexicon(["xyz"]), toxicity.grammar()
+    x = toxicity.features(pa.array(["idiot", "you are an idiot", "he said: idiot! Fine.", "the word xyzbad", "we will kill you", "kill", "", "no idiot here"], pa.large_string()), lexicon, machine)
+    named = [[name for (name, _), n in zip(toxicity.KINDS, row[1:5], strict=True) if n] for row in x]
+    assert named == [[], ["attack"], [], ["name-calling"], ["menace"], [], [], ["marked"]]
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    """Every document's score from regular expressions and the rules above, with the learned stems and weights."""
+    d, labels = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    stems, weights = toxicity.train(d, labels, "doc_id", "text")
+    classes = {}
+    for words, kind in ((toxicity.INSULTS, toxicity.INSULT), (toxicity.THREATS, toxicity.THREAT), (toxicity.TARGETS, toxicity.TARGET), (toxicity.NEGATIONS, toxicity.NEGATION), (toxicity.REPORTS, toxicity.REPORT), (toxicity.INTENSIFIERS, toxicity.INTENSIFIER)):
+        for w in words:
+            classes.setdefault(w, kind)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    got = {r.doc_id: r.score for r in toxicity.score(d, labels).collect()}
+    for r in d.collect():
+        counts, total, best, clauses = [0] * 4, 0.0, 0.0, 0
+        for clause in re.split(r"[.!?;:\n]", r.text or ""):
+            words = re.findall(r"(?:[A-Za-z]|[^\x00-\x7f])+", clause.translate(lower))
+            clauses += bool(words)
+            kinds = [classes.get(w, toxicity.STEM if any(w.startswith(s) for s in stems) else toxicity.OTHER) for w in words]
+            if len(kinds) > 1 and set(kinds) & {toxicity.INSULT, toxicity.THREAT, toxicity.STEM}:
+                written, score = brute_clause(kinds)
+                hit = next((k for k, (_, own) in enumerate(toxicity.KINDS) if own & set(written)), None)
+                if hit is not None:
+                    counts[hit] += 1
+                    total, best = total + max(score, 0), max(best, score)
+        x = [1, *(math.log1p(c) for c in counts), math.log1p(total), math.log1p(best), math.sqrt(sum(counts) / max(clauses, 1))]
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-float(np.dot(x, weights))))) < 1e-9
+
+
 def test_toxicity_held_out(spark):
     d, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity.score(d.join(labels.select("doc_id"), "doc_id"), labels).join(labels, "doc_id").where("held_out").collect()
