@@ -523,6 +523,34 @@ def test_urls_split_as_with_the_whole_model(spark):
     assert len(got) == pages.count() and all(r.tokens == " ".join(urls.host_tokens(r.host, seg) + urls.path_tokens(r.path)) for r in got)
 
 
+def test_url_verdicts_against_brute_force(spark):
+    """Rules, words of whole texts, splits and naive Bayes by plain dictionaries."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in pages.select("page_id", "url", "html").collect()] + [(10**6, None, None), (10**6 + 1, "no scheme", ""), (10**6 + 2, "http://the.of.com/en/1?q", "<p>the of</p>")]
+    words = collections.Counter(w.lower() for _, _, h in rows for w in re.findall(r"[A-Za-z]+", re.sub(r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>", " ", h or "")))
+    seg = urls.Segmenter({w: n for w, n in words.items() if len(w) <= urls.LONGEST}, sum(words.values()))
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    seen, docs, judged = {"block": collections.Counter(), "allow": collections.Counter()}, collections.Counter(), {}
+    for i, u, _ in rows:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = host.translate(lower)
+        fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        tokens = [urls.bucket(t) for t in urls.host_tokens(host, seg) + urls.path_tokens(path)]
+        judged[i] = host, path, max(fits)[1:] if fits else (None, None), tokens
+        if fits:
+            docs[max(fits)[2]] += 1
+            seen[max(fits)[2]].update(tokens)
+    size = {v: sum(c.values()) + 0.5 * urls.BUCKETS for v, c in seen.items()}
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and {r.verdict for r in got.values() if not r.rule} == {"block", "allow"}
+    for i, (host, path, (rule, verdict), tokens) in judged.items():
+        score = math.log((docs["block"] + 0.5) / (docs["allow"] + 0.5)) + sum(math.log((seen["block"][t] + 0.5) / size["block"]) - math.log((seen["allow"][t] + 0.5) / size["allow"]) for t in tokens)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule) and abs(got[i].score - score) < 1e-6
+        assert got[i].verdict == (verdict or ("block" if score > 0 else "allow")) or abs(score) < 1e-6
+
+
 def test_viterbi_against_all_splits():
     seg = urls.Segmenter({"blue": 5, "bird": 4, "blu": 1, "e": 2, "ebird": 1}, 13)
     splits = lambda s: [[s]] + [[s[:k], *r] for k in range(1, len(s)) for r in splits(s[k:])]
