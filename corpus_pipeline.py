@@ -4,6 +4,16 @@ Every stage works on all that its predecessor kept.  Quality rules drop what
 they reject; near-duplicate groups keep their smallest id; secrets are cut out
 of the texts; mixing writes every document in schedule order, also beyond the
 slot at which sources run dry; encoding returns the token ids.
+
+Defined cases, stage by stage.  Null, empty and word-less texts fail the
+quality rules and go; later stages, given such rows, keep them.  Null ids and
+rows that share an id are carried along by quality rules, secret scans, mixing
+and encoding; near-duplicates keep the first row of a group (least id, then
+text hash, null ids last), and one of rows alike in id and text.  Ties in
+mixing go to the smaller source, then hash, then id.  Long texts are worked on
+whole.  An empty table gives an empty result at every stage.  Other columns may
+have any name and come back unchanged, but for ``n_chars``, which secret scans
+bring up to date with the text.
 """
 
 from __future__ import annotations
@@ -28,8 +38,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs)
-    return mixed.repartitionByRange("slot").sortWithinPartitions("slot", "position").select(*docs.columns)
+    return mixing.in_order(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
