@@ -25,8 +25,9 @@ nothing and kept; fewer words than a shingle form one shingle; repeated rows
 are in one class; rows that share an id but not their text are nodes of their
 own, and of one component the first is kept; a component's id is its least id,
 null if it has null ids only, and a row with a null id is kept if no row with
-an id is linked with it and it is the first; an empty table gives an empty
-result; other columns are ignored, whatever their names.
+an id is linked with it and it is the first; ties of a hub go to the least
+node; an empty table gives an empty result; long texts are shingled whole;
+other columns are ignored, or come back as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -279,7 +280,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sett
     kept = rows.groupBy(F.coalesce("id", F.lit(0).cast("long")).alias("_kept_at"), F.col("mark").alias("_kept_mark")).agg(F.max("alone").alias("_alone"), F.count("*").alias("copies"))
     kept = scratch.write(kept, "kept")
     keys = ["_kept_at", "_kept_mark"]
-    out = df.select("*", at.alias(keys[0]), mark.alias(keys[1])).join(kept.drop("copies"), keys)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")  # one struct, so no input column can clash
+    out = df.select(row, at.alias(keys[0]), mark.alias(keys[1])).join(kept.drop("copies"), keys)
     if not kept.where("copies > 1 AND NOT _alone").isEmpty():
         out = out.where("_alone").union(out.where("NOT _alone").dropDuplicates(keys))
-    return out.select(*df.columns)
+    return out.select("_row.*")

@@ -768,6 +768,22 @@ def test_pipeline(spark):
     assert sorted(ids(last)) == sorted(ids(docs)) and last.where("size(ids) <> n_tokens").count() == 0
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    import corpus_pipeline as p
+
+    names = ["position", "slot", "k", "key", "node", "id", "mark", "_row", "_kept_at", "copies", "ids", "t", "kept"]
+    whole = odd(spark).drop("key", "node", "n", "score").withColumn("n_chars", F.length("text").cast("long")).union(spark.createDataFrame([(None, "a b c d e f g h i j k l", "s", 23), (None, None, None, None)], "doc_id long, text string, source string, n_chars long"))
+    whole = whole.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for df in (whole, whole.where("false")):
+        for k, (_, stage) in enumerate(p.STAGES[:-1]):
+            got = stage(spark, df, SF)
+            assert got.columns == df.columns
+            rows = got.collect()
+            assert all(r[n] == i for r in rows for i, n in enumerate(names))
+            assert len(rows) == df.count() or k < 2
+        assert p.STAGES[-1][1](spark, df, SF).count() == df.count()
+
+
 def test_pipeline_mixing_keeps_every_document(spark):
     import corpus_pipeline as p
 
