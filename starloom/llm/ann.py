@@ -332,7 +332,7 @@ def neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     bound = F.when(F.size("near") > k, F.element_at("near", k + 1)["score"]).alias("bound")
     again = map_arrow(single.join(first.select("h1", "h2", bound), ["h1", "h2"]).select("v", "h1", "h2", "bound"), spread, "v array<double>, h1 long, h2 long, bound double, dim int, cell int")
-    both = first.union(visit(again)) if any(len(t.low) > 1 for t in trees.value.values()) else first
+    both = first.union(scratch.write(visit(again), "again")) if any(len(t.low) > 1 for t in trees.value.values()) else first
     # One row a distinct query: k + 1 entries of the home cell, and of others those within the distance found there.
     found = both.select("h1", "h2", F.explode("near").alias("x")).groupBy("h1", "h2", "x.vec_id").agg(F.min("x.score").alias("score"))
     lists = found.groupBy("h1", "h2").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k + 1).alias("near"))
