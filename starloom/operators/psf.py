@@ -127,11 +127,14 @@ def measure(stamp: np.ndarray, beta: float | None = None) -> dict[str, float] |
 def aperture_snr(img: np.ndarray, x: float, y: float, fwhm: float) -> float:
     """Flux over noise within 1.5 FWHM, on a clipped annulus of 3 to 5 FWHM; 0 where too little is left."""
     ap, inner, outer = max(1.5 * fwhm, 3.0), 3 * fwhm, 5 * fwhm
-    yy, xx = np.indices(img.shape)
-    d = np.hypot(xx - x, yy - y)
     if x - outer < 0 or y - outer < 0 or x + outer >= img.shape[1] or y + outer >= img.shape[0]:
         return 0.0
-    inside, ring = img[d <= ap], img[(d >= inner) & (d <= outer)]
+    reach = max(ap, outer)
+    x0, y0 = max(math.floor(x - reach), 0), max(math.floor(y - reach), 0)
+    win = img[y0 : math.ceil(y + reach) + 1, x0 : math.ceil(x + reach) + 1]
+    yy, xx = np.indices(win.shape)
+    d = np.hypot(xx + x0 - x, yy + y0 - y)
+    inside, ring = win[d <= ap], win[(d >= inner) & (d <= outer)]
     for _ in range(2):
         if len(ring) < 5:
             return 0.0

@@ -44,7 +44,7 @@ def trail_columns(df: DataFrame, limit: float = TRAIL_LIMIT) -> DataFrame:
     return df.withColumn("possibly_trailed", (F.col("n") >= 20) & (F.col("field_fwhm") >= 2.0) & fires & ~optics)
 
 
-def frame_quality(stars: DataFrame, background: float = 1000.0, noise: float = 50.0) -> DataFrame:
+def frame_quality(stars: DataFrame, background: float = 1000.0, noise: float = 50.0, trail_limit: float = TRAIL_LIMIT) -> DataFrame:
     """All statistics of every frame; a star's weight is 1 / (1 + residual)."""
     dist = F.sqrt((F.col("x") - CENTRE) * (F.col("x") - CENTRE) + (F.col("y") - CENTRE) * (F.col("y") - CENTRE))
     w = 1 / (1 + F.col("fit_residual"))
@@ -59,7 +59,7 @@ def frame_quality(stars: DataFrame, background: float = 1000.0, noise: float = 5
         stats.values("beta").alias("betas"),
         F.collect_list(F.struct("fwhm", "ecc", w.alias("w"))).alias("stars"),
     )
-    df = trail_columns(df.withColumn("field_fwhm", clipped_median(F.col("fwhms"))))
+    df = trail_columns(df.withColumn("field_fwhm", clipped_median(F.col("fwhms"))), trail_limit)
     rounds = F.filter("stars", lambda s: s["ecc"] <= ROUND_ECC)
     df = df.withColumn("used", F.when(F.col("possibly_trailed") | (F.size(rounds) < 3), F.col("stars")).otherwise(rounds))
     pairs = lambda name: F.sort_array(F.transform("used", lambda s: F.struct(s[name].alias("v"), s["w"].alias("w"))))

@@ -57,6 +57,25 @@ def without_chains(points: DataFrame, radius: float) -> DataFrame:
     return points.join(pairs.select(F.col("bright").alias("id")).distinct(), "id", "left_anti").join(marked, "id", "left_anti")
 
 
+def suppressed(points: DataFrame, radius: float, strict: bool = False) -> DataFrame:
+    """Points that are left when, in order of flux (then id), each one that is left removes all later ones in reach.
+
+    Who is left is decided in rounds: of the pairs not settled yet, a point that
+    has no brighter one in reach stays and removes its fainter ones.
+    """
+    order = points.select("id", F.struct((-F.col("flux")).isNull().alias("none"), (-F.col("flux")).alias("flux"), F.col("id").alias("own")).alias("o"))
+    near = within(points, points, radius, strict).where("a <> b").select("a", "b")
+    near = near.join(order.select(F.col("id").alias("a"), F.col("o").alias("ao")), "a").join(order.select(F.col("id").alias("b"), F.col("o").alias("bo")), "b")
+    live = _cut(near.where("ao < bo").select(F.col("a").alias("bright"), F.col("b").alias("faint")))
+    removed = live.select(F.col("faint").alias("id")).where("false")
+    while not live.isEmpty():
+        below = live.select(F.col("faint").alias("bright")).distinct()
+        gone = _cut(live.join(below, "bright", "left_anti").select(F.col("faint").alias("id")).distinct())
+        removed = removed.union(gone)
+        live = _cut(live.join(gone.select(F.col("id").alias("faint")), "faint", "left_anti").join(gone.select(F.col("id").alias("bright")), "bright", "left_anti"))
+    return points.join(removed, "id", "left_anti")
+
+
 def covered(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     """Points that have one of the others strictly within the radius."""
     hit = within(points, others, radius, strict=True).select(F.col("a").alias("id")).distinct()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detection, psf, spatial
+from ..operators import analysis, detection, psf, spatial
 from ..shipping import map_arrow
 from ..sources import fits, images, xisf
 from .images import SIZE, _smooth_sql
@@ -74,6 +74,16 @@ def fits_roundtrip_f32(spark, sf_dir):
     return _round_trip(spark, sf_dir, lambda p: fits.decode(fits.encode(p, -32))[1])
 
 
+@query(_trip_sql("(floor(v) * 70000 - 9)::FLOAT"))
+def fits_roundtrip_i32(spark, sf_dir):
+    return _round_trip(spark, sf_dir, lambda p: fits.decode(fits.encode(np.floor(p) * 70000 - 9, 32))[1])
+
+
+@query(_trip_sql("v::FLOAT"))
+def fits_roundtrip_f64(spark, sf_dir):
+    return _round_trip(spark, sf_dir, lambda p: fits.decode(fits.encode(p, -64))[1])
+
+
 def _xisf(codec: str, form: str = "UInt16", embedded: bool = False):
     return lambda spark, sf_dir: _round_trip(spark, sf_dir, lambda p: xisf.decode(xisf.encode(np.floor(p), form, codec, embedded))[1])
 
@@ -90,6 +100,31 @@ _f.__name__ = "xisf_roundtrip_u8"
 query(_trip_sql("floor(v)::BIGINT % 256 * 257"))(_f)
 
 
+
+
+@query(_trip_sql("floor(v)"))
+def xisf_roundtrip_u32(spark, sf_dir):
+    return _round_trip(spark, sf_dir, lambda p: xisf.decode(xisf.encode(np.floor(p) * 65536 + 7, "UInt32", "zstd+sh"))[1])
+
+
+for _form in ("Float32", "Float64"):
+    _f = _xisf("lz4+sh", _form)
+    _f.__name__ = "xisf_roundtrip_f" + _form[-2:]
+    query(_trip_sql("floor(v)::FLOAT * 65535::FLOAT"))(_f)
+
+
+@query(f"WITH {PIX} SELECT y // 10 AS frame, c, x, y % 10 AS y, (floor(v) + 100 * c)::DOUBLE AS v FROM pix CROSS JOIN range(3) r(c)")
+def xisf_roundtrip_rgb(spark, sf_dir):
+    """Colour frames of three planes, written planar and read back."""
+
+    def run(frame: int, img: np.ndarray) -> list[tuple]:
+        out = xisf.decode(xisf.encode(np.stack([np.floor(img) + 100 * c for c in range(3)]), "UInt16", "zlib+sh"))[1]
+        cc, yy, xx = np.indices(out.shape)
+        return list(zip([frame] * out.size, cc.ravel().tolist(), xx.ravel().tolist(), yy.ravel().tolist(), out.ravel().astype(float).tolist(), strict=True))
+
+    return per_frame(frames(v_pix(spark, sf_dir), 10), run, "frame long, c long, x long, y long, v double")
+
+
 @query(f"WITH {PIX}, f AS (SELECT DISTINCT y // 10 AS frame FROM pix) SELECT frame, k.pos::INT AS pos, k.keyword, k.value FROM f CROSS JOIN (VALUES (0, 'SIMPLE', 'T'), (1, 'BITPIX', '16'), (2, 'NAXIS', '2'), (3, 'NAXIS1', '100'), (4, 'NAXIS2', '10'), (5, 'BZERO', '32768.0'), (6, 'BSCALE', '1.0'), (7, 'BAYERPAT', 'RGGB')) k(pos, keyword, value)")
 def fits_header_cards(spark, sf_dir):
     """Header cards by column functions only, from the bytes of each frame's file."""
@@ -131,6 +166,11 @@ def mrs_noise(spark, sf_dir):
     return per_frame(frames(v_pix(spark, sf_dir), 1_000_000), lambda f, img: [(f, round(detection.mrs_noise(img, 2), 4))], "frame long, noise double")
 
 
+ROUGH, BROAD = 15.0, 3.0  # of the frames that are searched: the sky's unevenness, and stars whose filter sidelobes stay under a quarter
+WIDE = 1.8  # the rendered stars' deviation, in pixels
+SHAPE = (170, 190)
+
+
 def scenes(spark, sf_dir) -> DataFrame:
     """Rendered frames with known stars: all image stars, a dozen a frame, as (frame, stars)."""
     place = F.col("id") % 12
@@ -138,19 +178,35 @@ def scenes(spark, sf_dir) -> DataFrame:
     return s.groupBy("frame").agg(F.collect_list(F.struct("sx", "sy", "amp")).alias("stars"))
 
 
-def on_scenes(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+SCENE = f"""{IMGSTAR}, scene AS (SELECT id // 12 AS frame, 20 + (id % 12) % 4 * 40 + fmod(x, 8) AS sx, 20 + (id % 12) // 4 * 50 + fmod(y, 8) AS sy, fmod(abs(flux), 4000) + 2000 AS amp FROM imgstar),
+known AS (SELECT *, (row_number() OVER (PARTITION BY frame ORDER BY sy, sx) - 1)::INT AS k FROM scene)"""
+
+
+def profile(dx: np.ndarray, dy: np.ndarray, beta: float | None, wide: float) -> np.ndarray:
+    """A star of height 1: a Gaussian, or a Moffat of the given exponent and twice the width."""
+    q = (dx * dx + dy * dy) / (2 * wide * wide)
+    return np.exp(-q) if beta is None else (1 + q / 2) ** -beta
+
+
+def texture(shape: tuple[int, int], height: float) -> np.ndarray:
+    """A rough sky without chance: residues of a quadratic form, spread evenly over ``height`` up and down."""
+    yy, xx = np.indices(shape)
+    return ((xx * xx * 7919 + yy * yy * 10473 + xx * yy * 3121 + xx * 17 + yy * 31) % 1009 / 504.0 - 1.0) * height
+
+
+def on_scenes(df: DataFrame, function: Callable, schema: str, beta: float | None = None, rough: float = 0.0, wide: float = WIDE) -> DataFrame:
+    """Runs ``function(frame, image, stars)`` on every rendered frame, a level or rough sky with the frame's stars."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
         types = [kinds[c.strip().split(" ")[1]] for c in schema.split(",")]
         for batch in batches:
             for frame, stars in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rng = np.random.Generator(np.random.PCG64(frame))
-                img = 1000 + 20 * rng.standard_normal((170, 190))
+                img = 1000.0 + texture(SHAPE, rough)
                 yy, xx = np.indices(img.shape)
                 for s in stars:
-                    img += s["amp"] * np.exp(-((xx - s["sx"]) ** 2 + (yy - s["sy"]) ** 2) / (2 * 1.8**2))
+                    img += s["amp"] * profile(xx - s["sx"], yy - s["sy"], beta, wide)
                 out = function(frame, img, sorted(stars, key=lambda s: (s["sy"], s["sx"])))
                 columns = list(zip(*out, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
@@ -158,22 +214,38 @@ def on_scenes(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return map_arrow(df, run, schema)
 
 
-@query()
+_tenth = lambda v: round(v, 1) + 0.0
+
+
+@query(f"WITH {SCENE} SELECT frame, round(sx, 1) AS x, round(sy, 1) AS y FROM known")
 def detect_pipeline(spark, sf_dir):
-    """Two detection passes on rendered frames (accuracy is tested in pytest)."""
+    """Two detection passes on rendered frames: every star at its place, and nothing else."""
+    run = lambda frame, img, _: [(frame, _tenth(s["x"]), _tenth(s["y"])) for s in detection.detect(img, 1000.0, detection.mrs_noise(img, 2), 2.3548 * BROAD, second=True)]
+    return on_scenes(scenes(spark, sf_dir), run, "frame long, x double, y double", rough=ROUGH, wide=BROAD)
 
-    def run(frame, img, _):
-        noise = detection.mrs_noise(img, 2)
-        return [(frame, k, s["x"], s["y"], s["flux"], s["ecc"], s["fwhm"]) for k, s in enumerate(detection.detect(img, 1000.0, noise, 4.2, second=True))]
 
-    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, x double, y double, flux double, ecc double, fwhm double")
+def _matched(found: list[dict], stars: list[dict]) -> list[tuple[int, int]]:
+    """(star, detections within a pixel) of every star, and (-1, others)."""
+    near = [[k for k, s in enumerate(stars) if math.hypot(f["x"] - s["sx"], f["y"] - s["sy"]) < 1] for f in found]
+    return [(k, sum(k in n for n in near)) for k in range(len(stars))] + [(-1, sum(not n for n in near))]
 
 
-@query()
+@query(f"WITH {SCENE} SELECT frame, k, 1::INT AS n FROM known UNION ALL SELECT DISTINCT frame, -1::INT, 0::INT FROM known")
 def fast_detect(spark, sf_dir):
-    """The half-flux ladder on rendered frames."""
-    run = lambda frame, img, _: [(frame, k, s["x"], s["y"], s["hfd"], s["flux"], s["snr"]) for k, s in enumerate(detection.ladder(img, [(600.0, 20.0), (140.0, 20.0)], 1000.0, 50))]
-    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, x double, y double, hfd double, flux double, snr double")
+    """The half-flux ladder on rendered frames: each star once, and nothing else."""
+    return on_scenes(scenes(spark, sf_dir), lambda frame, img, stars: [(frame, k, n) for k, n in _matched(analysis.fast(img, 50)[0], stars)], "frame long, k int, n int")
+
+
+@query(f"WITH {SCENE} SELECT frame, count(*) AS n, count(*) AS measured, {round(BROAD * 2.3548)}::DOUBLE AS fwhm FROM known GROUP BY frame")
+def analyze_frame(spark, sf_dir):
+    """The whole analysis of every rendered frame: counts and the stars' width."""
+    from ..api import AnalysisConfig
+
+    def run(frame, img, stars):
+        facts = analysis.analyze(img, AnalysisConfig())[1]
+        return [(frame, facts["stars_detected"], facts["stars_measured"], float(round(facts["median_fwhm"])))]
+
+    return on_scenes(scenes(spark, sf_dir), run, "frame long, n long, measured long, fwhm double", rough=ROUGH, wide=BROAD)
 
 
 def _stamps(img, stars, r=10):
@@ -183,87 +255,125 @@ def _stamps(img, stars, r=10):
             yield s, x, y, img[y - r : y + r + 1, x - r : x + r + 1]
 
 
-@query()
+BETA = 3.5
+MOFFAT_WIDTH = 2 * math.sqrt(2 ** (1 / BETA) - 1) * 2 * WIDE  # of (1 + r^2 / (2 WIDE)^2) ^ -BETA
+
+
+@query(f"WITH {SCENE} SELECT frame, k, round(sx, 1) AS x, round(sy, 1) AS y, {round(MOFFAT_WIDTH, 1)}::DOUBLE AS fwhm_x, {round(MOFFAT_WIDTH, 1)}::DOUBLE AS fwhm_y, {BETA}::DOUBLE AS beta, 'moffat' AS method FROM known")
 def moffat_fit(spark, sf_dir):
+    """Free Moffat fits of stars that are Moffat profiles."""
+
     def run(frame, img, stars):
         out = []
         for k, (s, x, y, stamp) in enumerate(_stamps(img, stars)):
             m = psf.measure(stamp)
-            out.append((frame, k, x - 10 + m["x"], y - 10 + m["y"], m["fwhm_x"], m["fwhm_y"], m["ecc"], m["beta"], m["method"]))
+            if m is None:  # a flat stamp
+                continue
+            out.append((frame, k, _tenth(x - 10 + m["x"]), _tenth(y - 10 + m["y"]), _tenth(m["fwhm_x"]), _tenth(m["fwhm_y"]), _tenth(m["beta"]), m["method"]))
         return out
 
-    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, x double, y double, fwhm_x double, fwhm_y double, ecc double, beta double, method string")
+    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, x double, y double, fwhm_x double, fwhm_y double, beta double, method string", BETA)
 
 
-@query()
+@query(f"WITH {SCENE} SELECT frame, k, round(sx, 1) AS x, round(sy, 1) AS y, {round(WIDE * 2.3548, 2)}::DOUBLE AS fwhm_x, {round(WIDE * 2.3548, 2)}::DOUBLE AS fwhm_y, 0.0::DOUBLE AS residual FROM known")
 def gaussian_fit(spark, sf_dir):
     def run(frame, img, stars):
         fitted = ((k, x, y, psf.fit_gaussian(stamp)) for k, (_, x, y, stamp) in enumerate(_stamps(img, stars)))
-        return [(frame, k, x - 10 + m["x"], y - 10 + m["y"], m["fwhm_x"], m["fwhm_y"], m["residual"]) for k, x, y, m in fitted if m]
+        return [(frame, k, _tenth(x - 10 + m["x"]), _tenth(y - 10 + m["y"]), round(m["fwhm_x"], 2), round(m["fwhm_y"], 2), round(m["residual"], 3) + 0.0) for k, x, y, m in fitted if m]
 
     return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, x double, y double, fwhm_x double, fwhm_y double, residual double")
 
 
-@query()
+@query(f"WITH {SCENE} SELECT frame, k, round(sx, 1) AS x, round(sy, 1) AS y FROM known")
 def centroid_refine(spark, sf_dir):
-    """Centres by a Moffat fit of fixed shape, kept if they move by 2 pixels at most."""
+    """Centres by a Moffat fit of fixed shape from whole-pixel starts, if signal and shift allow."""
 
     def run(frame, img, stars):
         out = []
-        for k, (s, x, y, stamp) in enumerate(_stamps(img, stars)):
-            m = psf.fit_moffat(stamp, beta=4.0, rounds=25, tol=1e-4)
-            if m and math.hypot(m["x"] - 10, m["y"] - 10) <= 2 and 0.5 <= m["fwhm_x"] <= 50:
-                out.append((frame, k, x - 10 + m["x"], y - 10 + m["y"], math.hypot(x - 10 + m["x"] - s["sx"], y - 10 + m["y"] - s["sy"])))
+        for k, s in enumerate(stars):
+            m = analysis.refined(img, 1000.0, {"x": float(round(s["sx"])), "y": float(round(s["sy"]))})
+            if m:
+                out.append((frame, k, _tenth(m["x"]), _tenth(m["y"])))
         return out
 
-    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, x double, y double, error double")
+    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, x double, y double")
 
 
-@query()
+def _grid_sql(r: int) -> str:
+    """Every star's pixels within r of its nearest whole pixel: offsets (dx, dy) from its centre, and the light v."""
+    return f"""{SCENE}, g AS (SELECT frame, k, sx, sy, px - (sx - rx) AS dx, py - (sy - ry) AS dy, px, py, amp * exp(-((px - (sx - rx)) ^ 2 + (py - (sy - ry)) ^ 2) / (2 * {WIDE}::DOUBLE * {WIDE}::DOUBLE)) AS v
+  FROM (SELECT *, round_even(sx, 0) AS rx, round_even(sy, 0) AS ry FROM known), range(-{r}, {r + 1}) a(px), range(-{r}, {r + 1}) b(py))"""
+
+
+@query(f"WITH {_grid_sql(10)} SELECT frame, k, CASE WHEN any_value(sx) < 21 OR any_value(sy) < 21 OR any_value(sx) + 21 >= {SHAPE[1]} OR any_value(sy) + 21 >= {SHAPE[0]} THEN 0 ELSE round(sqrt(sum(v) FILTER (WHERE dx * dx + dy * dy <= {(1.5 * 4.2) ** 2!r}::DOUBLE)), 2) END AS snr FROM g GROUP BY frame, k")
 def snr_aperture(spark, sf_dir):
-    run = lambda frame, img, stars: [(frame, k, psf.aperture_snr(img, s["sx"], s["sy"], 4.2), psf.half_flux_radius(stamp - 1000, 10 + s["sx"] - x, 10 + s["sy"] - y, 8.0)) for k, (s, x, y, stamp) in enumerate(_stamps(img, stars))]
-    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, snr double, hfr double")
+    """On a level sky the noise is the star's own light; 0 where the ring would leave the frame."""
+    run = lambda frame, img, stars: [(frame, k, round(psf.aperture_snr(img, s["sx"], s["sy"], 4.2), 2)) for k, s in enumerate(stars)]
+    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, snr double")
 
 
-def _greedy(spark, sf_dir, keep: Callable) -> DataFrame:
-    """Runs a sequential rule on the stars of each of 16 strips, brightest first."""
+@query(f"WITH {_grid_sql(10)} SELECT frame, k, round(sum(v * sqrt(dx * dx + dy * dy)) / sum(v), 4) AS hfr FROM g WHERE dx * dx + dy * dy <= 64 GROUP BY frame, k")
+def hfr(spark, sf_dir):
+    """Half-flux radius of every star within eight pixels."""
+    run = lambda frame, img, stars: [(frame, k, round(psf.half_flux_radius(stamp - 1000, 10 + s["sx"] - x, 10 + s["sy"] - y, 8.0), 4)) for k, (s, x, y, stamp) in enumerate(_stamps(img, stars))]
+    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, hfr double")
 
-    def run(table: pa.Table) -> pa.Table:
-        t = table.sort_by([("flux", "descending"), ("id", "ascending")])
-        return t.take(pa.array(keep(t["x"].to_numpy(), t["y"].to_numpy()), pa.int64())).select(["strip", "id"])
 
-    from ..shipping import ship
+@query(
+    f"""WITH {_grid_sql(10)}, t AS (SELECT * REPLACE (CASE WHEN v > 0.05::DOUBLE * top THEN v ELSE 0 END AS v) FROM (SELECT *, max(v) OVER (PARTITION BY frame, k) AS top FROM g)),
+c AS (SELECT frame, k, sum(v * v * px) / sum(v * v) AS cx, sum(v * v * py) / sum(v * v) AS cy FROM t GROUP BY frame, k),
+m AS (SELECT frame, k, any_value(cx) AS cx, any_value(cy) AS cy, sum(v) AS flux, count(*) FILTER (WHERE v > 0) AS area, sum(v * (px - cx) ^ 2) / sum(v) AS mxx, sum(v * (py - cy) ^ 2) / sum(v) AS myy, sum(v * (px - cx) * (py - cy)) / sum(v) AS mxy FROM t JOIN c USING (frame, k) GROUP BY frame, k)
+SELECT frame, k, round(cx, 4) + 0.0::DOUBLE AS cx, round(cy, 4) + 0.0::DOUBLE AS cy, round(flux, 2) AS flux, area, round(2.3548::DOUBLE * sqrt(sqrt(greatest(mxx * myy - mxy * mxy, 0))), 4) AS fwhm FROM m"""
+)
+def moments_shape(spark, sf_dir):
+    """Centroid, flux, area and width of every star by moments."""
+
+    def run(frame, img, stars):
+        out = []
+        for k, (_, _, _, stamp) in enumerate(_stamps(img, stars)):
+            m = detection.moments(stamp - 1000)
+            out.append((frame, k, round(m["cx"] - 10, 4) + 0.0, round(m["cy"] - 10, 4) + 0.0, round(m["flux"], 2), m["area"], round(m["fwhm"], 4)))
+        return out
+
+    return on_scenes(scenes(spark, sf_dir), run, "frame long, k int, cx double, cy double, flux double, area long, fwhm double")
 
-    ship(spark)
-    s = v_imgstar(spark, sf_dir).withColumn("strip", F.floor(F.col("x") / 63).cast("int"))
-    return s.groupBy("strip").applyInArrow(run, "strip int, id long")
 
+@query(f"WITH {SCENE} SELECT frame, TRUE AS near FROM known GROUP BY frame HAVING count(*) >= 3")
+def half_max_width(spark, sf_dir):
+    """Whether the half-maximum walk tells the stars' deviation within a tenth, by a frame's median."""
 
-STRIP = f"{IMGSTAR}, st AS (SELECT floor(x / 63)::INT AS strip, id, x, y, row_number() OVER (PARTITION BY floor(x / 63)::INT ORDER BY flux DESC, id) AS rn FROM imgstar)"
+    def run(frame, img, stars):
+        found = [analysis.half_max_sigma(stamp - 1000, 10 + s["sx"] - x, 10 + s["sy"] - y) for s, x, y, stamp in _stamps(img, stars)]
+        return [(frame, abs(detection.upper_median(np.array(found)) - WIDE) < 0.1 * WIDE)] if len(found) >= 3 else []
+
+    return on_scenes(scenes(spark, sf_dir), run, "frame long, near boolean")
 
 
 def _nms_sql(radius: float, strict: bool) -> str:
     test = "<" if strict else "<="
-    return f"""WITH RECURSIVE {STRIP}, lst AS (SELECT strip, list({{'id': id, 'x': x, 'y': y}} ORDER BY rn) AS l FROM st GROUP BY strip),
-go AS (SELECT strip, l, 1 AS k, [l[1]] AS kept FROM lst UNION ALL SELECT strip, l, k + 1, CASE WHEN len(list_filter(kept, lambda q: (q.x - l[k + 1].x) * (q.x - l[k + 1].x) + (q.y - l[k + 1].y) * (q.y - l[k + 1].y) {test} {radius * radius}::DOUBLE)) > 0 THEN kept ELSE list_append(kept, l[k + 1]) END FROM go WHERE k < len(l))
-SELECT strip, unnest(kept).id AS id FROM go WHERE k = len(l)"""
+    return f"""WITH RECURSIVE {IMGSTAR}, lst AS (SELECT list({{'id': id, 'x': x, 'y': y}} ORDER BY flux DESC, id) AS l FROM imgstar),
+go AS (SELECT l, 1 AS k, [l[1]] AS kept FROM lst WHERE len(l) > 0 UNION ALL SELECT l, k + 1, CASE WHEN len(list_filter(kept, lambda q: (q.x - l[k + 1].x) * (q.x - l[k + 1].x) + (q.y - l[k + 1].y) * (q.y - l[k + 1].y) {test} {radius * radius}::DOUBLE)) > 0 THEN kept ELSE list_append(kept, l[k + 1]) END FROM go WHERE k < len(l))
+SELECT unnest(kept).id AS id FROM go WHERE k = len(l)"""
 
 
 @query(_nms_sql(24.0, False))
 def nms_greedy(spark, sf_dir):
-    return _greedy(spark, sf_dir, lambda x, y: detection.suppress(x, y, 24.0))
+    return spatial.suppressed(v_imgstar(spark, sf_dir), 24.0).select("id")
 
 
 @query(_nms_sql(9.0, True))
 def centroid_dedup(spark, sf_dir):
-    return _greedy(spark, sf_dir, lambda x, y: detection.suppress(x, y, 9.0, strict=True))
+    return spatial.suppressed(v_imgstar(spark, sf_dir), 9.0, strict=True).select("id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {IMGSTAR}, lst AS (SELECT list({{'id': id, 'x': x, 'y': y}} ORDER BY flux DESC, id) AS l FROM imgstar),
+go AS (SELECT l, 0 AS k, []::BIGINT[] AS hit, []::BIGINT[] AS marked FROM lst WHERE len(l) > 0 UNION ALL SELECT l, k + 1, hit, CASE WHEN len(hit) > 0 THEN list_concat(list_append(marked, (k + 1)::BIGINT), hit) ELSE marked END
+  FROM (SELECT l, k, marked, CASE WHEN list_contains(marked, (k + 1)::BIGINT) THEN [] ELSE list_filter(range(k + 2, len(l) + 1), lambda j: (l[j].x - l[k + 1].x) * (l[j].x - l[k + 1].x) + (l[j].y - l[k + 1].y) * (l[j].y - l[k + 1].y) <= 144) END AS hit FROM go WHERE k < len(l)))
+SELECT unnest(list_transform(list_filter(range(1, len(l) + 1), lambda j: NOT list_contains(marked, j)), lambda j: l[j].id)) AS id FROM go WHERE k = len(l)""")
 def blend_chain(spark, sf_dir):
-    """Order-dependent blend rejection over the whole image (a chain's far end survives; tested in pytest)."""
+    """Order-dependent blend rejection over the whole image (a chain's far end survives)."""
     s = v_imgstar(spark, sf_dir)
-    return spatial.without_chains(s, 12.0).select(F.floor(F.col("x") / 63).cast("int").alias("strip"), "id")
+    return spatial.without_chains(s, 12.0).select("id")
 
 
 @query()

@@ -88,7 +88,7 @@ def quad_affine(spark, sf_dir):
 
 N = 20
 TRIPLES = solve.triples(N)
-PAIRS = "mt AS (SELECT id - 1 AS idx, x, y, CASE WHEN id % 4 = 0 THEN 0.3::DOUBLE + id * 0.01 ELSE 0.001::DOUBLE * x + 0.0002::DOUBLE * y END AS xi, CASE WHEN id % 4 = 0 THEN -0.2::DOUBLE ELSE 0.001::DOUBLE * y - 0.0002::DOUBLE * x END AS eta FROM imgstar WHERE id <= 20)"
+PAIRS = "mt AS (SELECT id - 1 AS idx, x, y, CASE WHEN id % 4 = 0 THEN 0.3::DOUBLE + id * 0.01 ELSE 0.001::DOUBLE * x + 0.0002::DOUBLE * y END AS xi, CASE WHEN id % 4 = 0 THEN -0.2::DOUBLE ELSE 0.001::DOUBLE * y - 0.0002::DOUBLE * x END AS eta FROM imgstar)"
 
 
 def _ransac_sql() -> str:
@@ -98,16 +98,16 @@ def _ransac_sql() -> str:
 p3 AS (SELECT t, {cols} FROM tr JOIN mt m0 ON m0.idx = s0 JOIN mt m1 ON m1.idx = s1 JOIN mt m2 ON m2.idx = s2), pd AS (SELECT *, x0 * (y1 - y2) - y0 * (x1 - x2) + (x1 * y2 - x2 * y1) AS det FROM p3),
 md AS (SELECT t, {z('xi', 1)}, {z('eta', 2)} FROM pd WHERE abs(det) >= 1e-20),
 hit AS (SELECT t, idx FROM mt, md WHERE sqrt((a1 * x + b1 * y + c1 - xi) ^ 2 + (a2 * x + b2 * y + c2 - eta) ^ 2) < 2 * sqrt(a1 * a1 + a2 * a2)), sc AS (SELECT t, count(*) AS n FROM hit GROUP BY t),
-st AS (SELECT min(t) FILTER (WHERE n > 16) AS stop FROM sc), best AS (SELECT arg_max(t, (n, -t)) AS t, max(n) AS n FROM sc, st WHERE stop IS NULL OR t <= stop)
+st AS (SELECT min(t) FILTER (WHERE n > 0.8::DOUBLE * (SELECT count(*) FROM mt)) AS stop FROM sc), best AS (SELECT arg_max(t, (n, -t)) AS t, max(n) AS n FROM sc, st WHERE stop IS NULL OR t <= stop)
 SELECT idx FROM hit JOIN best USING (t) WHERE best.n >= 6"""
 
 
 @query(_ransac_sql())
 def ransac_inliers(spark, sf_dir):
-    """Fifteen matches on a plane and five off it."""
+    """All stars as matches, a quarter of them off the plane; the sampled triples stand among the first ``N``."""
     off = F.col("id") % 4 == 0
     x, y = F.col("x"), F.col("y")
-    m = v_imgstar(spark, sf_dir).where("id <= 20").select((F.col("id") - 1).alias("idx"), "x", "y", F.when(off, 0.3 + F.col("id") * 0.01).otherwise(0.001 * x + 0.0002 * y).alias("xi"), F.when(off, -0.2).otherwise(0.001 * y - 0.0002 * x).alias("eta"))
+    m = v_imgstar(spark, sf_dir).select((F.col("id") - 1).alias("idx"), "x", "y", F.when(off, 0.3 + F.col("id") * 0.01).otherwise(0.001 * x + 0.0002 * y).alias("xi"), F.when(off, -0.2).otherwise(0.001 * y - 0.0002 * x).alias("eta"))
     return spatial.ransac(m, TRIPLES, 2.0, 6)
 
 
@@ -129,13 +129,19 @@ def annotations(spark, sf_dir):
     return a.select("frame_id", "k1", "k2", "k3", "ax", "ay", *[F.round(c, 6).alias(c) for c in ("semi_major", "semi_minor", "theta")], *[F.col("rgb")[n].alias(c) for n, c in enumerate("rgb")])
 
 
-@query(f"WITH {STAR}, {ANNOTATED}, few AS (SELECT * FROM ann WHERE frame_id <= 2), v AS (SELECT *, unnest(range(65)) AS k FROM few) SELECT frame_id, k1, k2, k3, k::INT AS k, round(ax + semi_major * cos(2 * pi() * k / 64) * cos(theta) - semi_minor * sin(2 * pi() * k / 64) * sin(theta), 4) + 0.0::DOUBLE AS vx, round(ay + semi_major * cos(2 * pi() * k / 64) * sin(theta) + semi_minor * sin(2 * pi() * k / 64) * cos(theta), 4) + 0.0::DOUBLE AS vy FROM v")
+_VX = "list_transform(range(65), lambda k: ax + semi_major * cos(2 * pi() * k / 64) * cos(theta) - semi_minor * sin(2 * pi() * k / 64) * sin(theta))"
+_VY = "list_transform(range(65), lambda k: ay + semi_major * cos(2 * pi() * k / 64) * sin(theta) + semi_minor * sin(2 * pi() * k / 64) * cos(theta))"
+
+
+@query(f"WITH {STAR}, {ANNOTATED}, p AS (SELECT frame_id, k1, k2, k3, {_VX} AS vx, {_VY} AS vy FROM ann) SELECT frame_id, k1, k2, k3, len(vx) AS n, round(list_min(vx), 4) + 0.0::DOUBLE AS left_x, round(list_max(vx), 4) + 0.0::DOUBLE AS right_x, round(list_min(vy), 4) + 0.0::DOUBLE AS low_y, round(list_max(vy), 4) + 0.0::DOUBLE AS high_y FROM p")
 def ellipse_vertices(spark, sf_dir):
-    """The 65 vertices of each ellipse of the first two frames."""
-    a = _annotations(spark, sf_dir).where("frame_id <= 2").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(64))))
-    t = 2 * F.pi() * F.col("k") / 64
-    p, q = F.col("semi_major") * F.cos(t), F.col("semi_minor") * F.sin(t)
-    return a.select("frame_id", "k1", "k2", "k3", "k", F.round(F.col("ax") + p * F.cos("theta") - q * F.sin("theta"), 4).alias("vx"), F.round(F.col("ay") + p * F.sin("theta") + q * F.cos("theta"), 4).alias("vy"))
+    """The 65 vertices of every star's ellipse, and the box that holds them."""
+    t = lambda k: 2 * F.pi() * k / 64
+    c = F.col
+    vertex = lambda k: F.struct((c("ax") + c("semi_major") * F.cos(t(k)) * F.cos("theta") - c("semi_minor") * F.sin(t(k)) * F.sin("theta")).alias("x"), (c("ay") + c("semi_major") * F.cos(t(k)) * F.sin("theta") + c("semi_minor") * F.sin(t(k)) * F.cos("theta")).alias("y"))
+    a = _annotations(spark, sf_dir).withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(64)), vertex))
+    ends = {"left_x": F.array_min(c("v.x")), "right_x": F.array_max(c("v.x")), "low_y": F.array_min(c("v.y")), "high_y": F.array_max(c("v.y"))}
+    return a.select("frame_id", "k1", "k2", "k3", F.size("v").cast("long").alias("n"), *[F.round(e, 4).alias(n) for n, e in ends.items()])
 
 
 @query()

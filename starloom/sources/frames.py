@@ -35,8 +35,8 @@ def decode_frames(files: DataFrame) -> DataFrame:
                 try:
                     meta, px = decode(path, content)
                     row = {"path": path, "width": px.shape[2], "height": px.shape[1], "channels": px.shape[0], "dtype": str(px.dtype), "bayer": meta["bayer"], "flip": meta["flip"], "data": px.tobytes(), "error": None}
-                except (ValueError, KeyError) as e:
-                    row = {k.name: None for k in schema} | {"path": path, "error": str(e)}
+                except Exception as e:  # whatever a decoder raises on a cut or garbled file
+                    row = {k.name: None for k in schema} | {"path": path, "error": f"{type(e).__name__}: {e}"}
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     return map_arrow(files.select("path", "content"), run, FRAME)
