@@ -340,7 +340,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     kind = pages.schema[id_col].dataType.simpleString()
     placed = map_arrow(rows, place, f"id {kind}, url string, html string, host string, path string, at long, part int, guest boolean")
-    sorted_rows = placed.repartition("part").sortWithinPartitions("part", "host", "path", "at")
+    sorted_rows = placed.repartitionById(len(borders) + 1, F.col("part")).sortWithinPartitions("part", "host", "path", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_type = None
