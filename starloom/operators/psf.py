@@ -13,14 +13,14 @@ WIDTH = 2.3548
 
 
 def _solve(model: Callable, p: np.ndarray, z: np.ndarray, limits: Callable, rounds: int, tol: float) -> tuple[np.ndarray, float] | None:
-    """Damped least squares with Nielsen's update; ``model`` gives values and Jacobian."""
+    """Damped least squares with Nielsen's update; ``model`` gives values and Jacobian, a row a parameter."""
     f, j = model(p)
     r = z - f
     cost, lam, nu = float(r @ r), 1e-3, 2.0
     for _ in range(rounds):
-        a, g = j.T @ j, j.T @ r
+        a, g = j @ j.T, j @ r
         try:
-            step = np.linalg.solve(a + lam * np.diag(np.maximum(np.diag(a), 1e-12)), g)
+            step = np.linalg.solve(a + np.diag(lam * np.maximum(a.diagonal(), 1e-12)), g)
         except np.linalg.LinAlgError:
             lam *= 10
             continue
@@ -29,7 +29,7 @@ def _solve(model: Callable, p: np.ndarray, z: np.ndarray, limits: Callable, roun
         rt = z - ft
         new = float(rt @ rt)
         if np.isfinite(new) and new < cost:
-            gain = (cost - new) / max(float(step @ (lam * np.diag(a) * step + g)), 1e-30)
+            gain = (cost - new) / max(float(step @ (lam * a.diagonal() * step + g)), 1e-30)
             small = np.linalg.norm(step) < tol * max(np.linalg.norm(p), 1e-12) or cost - new < 1e-4 * tol * cost
             p, j, r, cost = trial, jt, rt, new
             lam, nu = lam * max(1 / 3, 1 - (2 * gain - 1) ** 3), 2.0
@@ -79,17 +79,21 @@ def _fit(stamp: np.ndarray, beta: float | None, moffat: bool, rounds: int, tol:
         if moffat:
             b = p[7] if free else beta
             base = 1 + q
-            e = base**-b
+            logs = np.log(base)
+            e = np.exp(-b * logs)
             de = -b * e / base  # by q
         else:
             e = np.exp(-q / 2)
             de = -e / 2
         du, dw = 2 * u / p[4] ** 2, 2 * w / p[5] ** 2
         k = p[1] * de
-        cols = [np.ones_like(x), e, k * (-c * du + s * dw), k * (-s * du - c * dw), k * -2 * qu / p[4], k * -2 * qw / p[5], k * (du * w - dw * u)]
+        jac = np.empty((len(p), len(x)))
+        jac[0], jac[1] = 1.0, e
+        jac[2], jac[3] = k * (s * dw - c * du), k * (-s * du - c * dw)
+        jac[4], jac[5], jac[6] = k * qu * (-2 / p[4]), k * qw * (-2 / p[5]), k * (du * w - dw * u)
         if free:
-            cols.append(-p[1] * e * np.log(base))
-        return p[0] + p[1] * e, np.stack(cols, 1)
+            jac[7] = e * logs * -p[1]
+        return p[0] + p[1] * e, jac
 
     def limits(p):
         p = p.copy()

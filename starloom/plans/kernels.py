@@ -18,6 +18,15 @@ from .registry import query
 from .views import IMGSTAR, PIX, v_imgstar, v_pix
 
 
+def by_frame(df: DataFrame) -> DataFrame:
+    """Rows dealt by frame to as many partitions as the session shuffles to.
+
+    A number that is asked for is left alone by adaptive execution, which would
+    join small rows into one task, however long a frame's kernel takes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame")
+
+
 def frames(pix: DataFrame, rows: int) -> DataFrame:
     """(frame, w, v): the image cut into frames of whole rows, values in row order."""
     p = pix.select(F.expr(f"y div {rows}").alias("frame"), "y", "x", "v")
@@ -175,7 +184,7 @@ def scenes(spark, sf_dir) -> DataFrame:
     """Rendered frames with known stars: all image stars, a dozen a frame, as (frame, stars)."""
     place = F.col("id") % 12
     s = v_imgstar(spark, sf_dir).select(F.expr("id div 12").alias("frame"), (20 + place % 4 * 40 + F.col("x") % 8).alias("sx"), (20 + F.floor(place / 4) * 50 + F.col("y") % 8).alias("sy"), (F.abs("flux") % 4000 + 2000).alias("amp"))
-    return s.groupBy("frame").agg(F.collect_list(F.struct("sx", "sy", "amp")).alias("stars"))
+    return by_frame(s).groupBy("frame").agg(F.collect_list(F.struct("sx", "sy", "amp")).alias("stars"))
 
 
 SCENE = f"""{IMGSTAR}, scene AS (SELECT id // 12 AS frame, 20 + (id % 12) % 4 * 40 + fmod(x, 8) AS sx, 20 + (id % 12) // 4 * 50 + fmod(y, 8) AS sy, fmod(abs(flux), 4000) + 2000 AS amp FROM imgstar),
