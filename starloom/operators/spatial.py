@@ -63,20 +63,35 @@ def without_chains(points: DataFrame, radius: float) -> DataFrame:
 def suppressed(points: DataFrame, radius: float, strict: bool = False) -> DataFrame:
     """Points that are left when, in order of flux (then id), each one that is left removes all later ones in reach.
 
-    Who is left is decided in rounds: of the pairs not settled yet, a point that
-    has no brighter one in reach stays and removes its fainter ones.
+    Decided in rounds without a list of pairs: the first of each bucket stays if
+    no earlier point is in its reach, then what stays removes the points in its
+    reach.  A round compares a point with the first ones of 3 x 3 buckets only,
+    however many points a bucket has.  NaN is the largest flux, null the least;
+    points without a place stay.
     """
-    order = points.select("id", F.struct((-F.col("flux")).isNull().alias("none"), (-F.col("flux")).alias("flux"), F.col("id").alias("own")).alias("o"))
-    near = within(points, points, radius, strict).where("a <> b").select("a", "b")
-    near = near.join(order.select(F.col("id").alias("a"), F.col("o").alias("ao")), "a").join(order.select(F.col("id").alias("b"), F.col("o").alias("bo")), "b")
-    live = _cut(near.where("ao < bo").select(F.col("a").alias("bright"), F.col("b").alias("faint")))
-    removed = live.select(F.col("faint").alias("id")).where("false")
+    flux = F.col("flux")
+    order = F.struct(flux.isNull().alias("none"), (~F.isnan(flux)).alias("number"), (-flux).alias("flux"), F.col("id").alias("own"))
+    around = F.array(*[F.struct((F.col("hx") + dx).alias("bx"), (F.col("hy") + dy).alias("by")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    dx, dy = F.col("p.x") - F.col("first.p.x"), F.col("p.y") - F.col("first.p.y")
+    near = dx * dx + dy * dy < radius * radius if strict else dx * dx + dy * dy <= radius * radius
+
+    def spread(df: DataFrame) -> DataFrame:
+        return df.select("first", "hx", "hy", F.explode(around).alias("c")).select("first", "hx", "hy", F.col("c.bx").alias("bx"), F.col("c.by").alias("by"))
+
+    def meets(left: DataFrame, right: DataFrame) -> Column:
+        return (left["bx"] == right["bx"]) & (left["by"] == right["by"]) & near
+
+    out = points.where("x IS NULL OR y IS NULL")
+    live = points.where("x IS NOT NULL AND y IS NOT NULL").select(order.alias("o"), F.struct(*points.columns).alias("p"), _cell("x", radius).alias("bx"), _cell("y", radius).alias("by"))
     while not live.isEmpty():
-        below = live.select(F.col("faint").alias("bright")).distinct()
-        gone = _cut(live.join(below, "bright", "left_anti").select(F.col("faint").alias("id")).distinct())
-        removed = removed.union(gone)
-        live = _cut(live.join(gone.select(F.col("id").alias("faint")), "faint", "left_anti").join(gone.select(F.col("id").alias("bright")), "bright", "left_anti"))
-    return points.join(removed, "id", "left_anti")
+        best = live.groupBy(F.col("bx").alias("hx"), F.col("by").alias("hy")).agg(F.min(F.struct("o", "p")).alias("first"))
+        probe = spread(best)
+        late = live.join(probe, meets(live, probe) & (F.col("o") < F.col("first.o"))).select("hx", "hy").distinct()
+        kept = _cut(best.join(late, ["hx", "hy"], "left_anti").select("first", "hx", "hy"))
+        out = out.union(kept.select("first.p.*"))
+        probe = spread(kept)
+        live = _cut(live.join(probe, meets(live, probe), "left_anti"))
+    return out
 
 
 def covered(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
