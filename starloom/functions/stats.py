@@ -1,7 +1,8 @@
 """Robust statistics as column expressions.
 
 Arrays hold one frame's or one cell's values, whose number the frame bounds;
-the medians of whole images use a mergeable aggregate instead (``median_of``).
+medians of groups of any size use a mergeable aggregate instead (``median_of``),
+those of whole images ``operators.pixels.whole_median``.
 The median here is the upper one: element n div 2 of the sorted values.
 """
 

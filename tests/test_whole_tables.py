@@ -3,6 +3,7 @@
 import threading
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -42,3 +43,23 @@ def test_suppression_of_odd_stars(spark, tmp_path, name):
     pq.write_table(pa.table({"c_custkey": pa.array(keys, pa.int64()), "c_acctbal": pa.array(flux, pa.float64())}), tmp_path / "customer.parquet")
     got, want = against_sql(spark, tmp_path, name, "customer")
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["stretch_params", "stretch_apply"])
+def test_stretch_takes_every_pixel(spark, tmp_path, name):
+    """A gradient of more than 500,000 pixels: leaving out its end moves the median."""
+    n = np.arange(510_000)
+    pq.write_table(pa.table({"event_id": n, "value": n // 100 * 0.01}), tmp_path / "events.parquet")
+    got, want = against_sql(spark, tmp_path, name, "events")
+    assert got == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 1000, 70_001])
+def test_whole_median_is_exact(spark, n):
+    from pyspark.sql import functions as F
+
+    from starloom.operators import pixels
+
+    for v in (np.random.default_rng(n).exponential(50, n), np.random.default_rng(n).integers(-3, 3, n).astype(float)):
+        df = spark.createDataFrame(pa.table({"v": v}))
+        assert pixels.whole_median(df, F.col("v")).collect()[0].med == np.sort(v)[n // 2]
